@@ -12,8 +12,8 @@ is its earliest point. Levels stop early: no point later than a time by which al
 Candidates. Equal bags are one class from the start, and a class is stood for by its least id. Bands of signature
 components make buckets. A bucket is not expanded into pairs: its members are compared with one of them, links are
 joined into components, the same with another member, and only members of a bucket that then belong to different
-components are compared with each other. A bound on the sizes of bags and a bound on 252 signature bits, both in the join's
-condition, go before the exact comparison. What may be lost: a pair at exactly 0.8 misses all 42 bands with
+components are compared with each other. Bounds on the sizes of bags and on 252 signature bits and, for the last
+comparison, an exact bound from sketches of the bags, all in the join's condition, go before the exact comparison. What may be lost: a pair at exactly 0.8 misses all 42 bands with
 probability 3e-6, and the bound on bits, four and a half standard deviations below the mean, with probability 3e-6.
 
 Null text is an empty text; documents without words have no shingles and are classes of their own. A document of one
@@ -39,6 +39,9 @@ BANDS, ROWS = 42, 6
 SIZE = BANDS * ROWS
 #: Signature bits that agree, of all, at four and a half standard deviations below the mean at similarity 0.8.
 BITS = int(SIZE * 0.9 - 4.5 * (SIZE * 0.9 * 0.1) ** 0.5)
+#: Bins of a sketch, the most that one of them counts, and the 64-bit numbers that this takes.
+BINS, LEVELS = 512, 4
+LONGS = BINS * LEVELS // 64
 _U = np.uint64
 
 
@@ -83,6 +86,7 @@ def signatures(keys: np.ndarray, rows: np.ndarray, counts: np.ndarray, n: int, s
     start = np.zeros(len(seeds))
     step = np.zeros(len(seeds), np.uint64)
     wait = np.arange(len(seeds))
+    first, hashes = best.reshape(-1), who.reshape(-1)
     done = np.bincount(rows, minlength=n) == 0
     while len(wait):
         live = wait
@@ -97,14 +101,10 @@ def signatures(keys: np.ndarray, rows: np.ndarray, counts: np.ndarray, n: int, s
             z = mix(y)
             component = ((y >> _U(32)) * _U(size) >> _U(32)).astype(np.int64)
             kept = np.flatnonzero(_uniform(z) < parts[live])
-            flat = owners[live[kept]] * size + component[kept]
-            order = np.lexsort((-time[kept], flat))
-            kept, flat = kept[order], flat[order]
-            last = np.flatnonzero(np.concatenate([flat[1:] != flat[:-1], [True]])) if len(flat) else np.zeros(0, np.int64)
-            kept, flat = kept[last], flat[last]
-            better = time[kept] < best.reshape(-1)[flat]
-            best.reshape(-1)[flat[better]] = time[kept[better]]
-            who.reshape(-1)[flat[better]] = z[kept[better]]
+            flat, when = owners[live[kept]] * size + component[kept], time[kept]
+            np.minimum.at(first, flat, when)
+            won = np.flatnonzero(first[flat] == when)
+            hashes[flat[won]] = z[kept[won]]
             start[live], step[live] = time, step[live] + _U(1)
         done = done | (best.max(axis=1) <= limit)
         wait = np.concatenate(later) if later else np.zeros(0, np.int64)
@@ -113,11 +113,22 @@ def signatures(keys: np.ndarray, rows: np.ndarray, counts: np.ndarray, n: int, s
     return best, who
 
 
+def sketches(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Bins of a bag in unary: bit ``l`` of a bin is set where more than ``l`` shingles fall into it.
+
+    Bits that differ between two sketches never outnumber the shingles that the bags do not share.
+    """
+    bins = (mix(keys ^ _U(0x5851F42D4C957F2D)) >> _U(32)).astype(np.int64) % BINS
+    counts = np.bincount(rows * BINS + bins, minlength=n * BINS).reshape(n, BINS)
+    bits = np.concatenate([counts > level for level in range(LEVELS)], axis=1)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 def _to_signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-_SIGNED = "doc_id long, size long, bag1 long, bag2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+_SIGNED = "doc_id long, size long, bag1 long, bag2 long, bands array<long>, sketch array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,6 +145,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 np.add.at(sums, rows, mix(keys * _U(2 * salt + 1) + _U(salt)))
                 bags.append(mix(sums + size.astype(np.uint64)))
             _, who = signatures(*bag(keys, rows), n)
+            sketch = sketches(keys, rows, n)
             bits = np.zeros((n, 256), np.uint8)
             bits[:, :SIZE] = (who >> _U(40)) & _U(1)
             words = np.packbits(bits, axis=1).view(np.uint64)
@@ -143,7 +155,9 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             value = mix(value + np.arange(BANDS, dtype=np.uint64)[None])
             offsets = pa.array(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32))
             bands = pa.ListArray.from_arrays(offsets, _to_signed(value.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), *map(_to_signed, bags), bands, *(_to_signed(np.ascontiguousarray(words[:, i])) for i in range(4))], [x.split()[0] for x in _SIGNED.split(", ")])
+            offsets = pa.array(np.arange(0, LONGS * n + 1, LONGS, dtype=np.int32))
+            sketch = pa.ListArray.from_arrays(offsets, _to_signed(sketch.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), *map(_to_signed, bags), bands, sketch, *(_to_signed(np.ascontiguousarray(words[:, i])) for i in range(4))], [x.split()[0] for x in _SIGNED.split(", ")])
 
     batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).where("doc_id is not null")
@@ -213,8 +227,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         labels = components(_all(links))
     held = _labelled(buckets, labels)
     open_ = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("band").alias("full"))
-    held = cut(held.join(open_, F.col("band") == F.col("full"), "left_semi"), "open")
-    pairs = held.alias("x").join(held.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near(F.col("x.size"), F.col("y.size")) & agree("x", "y"))
+    held = held.join(open_, F.col("band") == F.col("full"), "left_semi")
+    held = cut(held.join(reps.select(F.col("doc_id").alias("own"), "sketch"), F.col("rep") == F.col("own")).drop("own"), "open")
+    # shingles not shared are at most this share of all where the similarity is reached; the sketches bound them from below
+    apart = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    close = apart <= (F.col("x.size") + F.col("y.size")) * ((1 - similar) / (1 + similar))
+    pairs = held.alias("x").join(held.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near(F.col("x.size"), F.col("y.size")) & agree("x", "y") & close)
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(_all(tried), ["a", "b"], "left_anti")
     links.append(cut(verify(cut(pairs, "pairs"), texts, similar), "links"))
     labels = components(_all(links))
