@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -44,10 +46,21 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str, partitions_by: str | None = None) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends there and a lost executor costs nothing."""
+_released = [0.0]
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again: lineage ends there and a lost executor costs nothing.
+
+    Shuffle files of what was written are not needed any more; Spark removes them when the driver's garbage is
+    collected, which is asked for here, some seconds apart.
+    """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
+    if time.monotonic() - _released[0] > 4:
+        gc.collect()
+        spark._jvm.System.gc()
+        _released[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 

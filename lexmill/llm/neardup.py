@@ -202,9 +202,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     # every document with the least id that has its bag
     members = cut(signed.select("doc_id", *key).join(bags.select(*(F.col(c).alias(f"r_{c}") for c in key), "rep"), [F.col(c) == F.col(f"r_{c}") for c in key], "left").select("doc_id", "size", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "members")
     reps = signed.join(members.where("doc_id = rep and size > 0").select(F.col("rep"), F.col("size").alias("rep_size")), (F.col("doc_id") == F.col("rep")) & (F.col("size") == F.col("rep_size")), "left_semi")
-    rows = reps.select(F.col("doc_id").alias("rep"), "size", "s0", "s1", "s2", "s3", F.explode("bands").alias("band"))
+    # bands alone are dealt first; what the join conditions need follows for the rows of shared buckets
+    rows = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("full"))
-    buckets = cut(rows.join(shared, F.col("band") == F.col("full"), "left_semi"), "buckets")
+    slim = rows.join(shared, F.col("band") == F.col("full"), "left_semi")
+    buckets = cut(slim.join(reps.select(F.col("doc_id").alias("own"), "size", "s0", "s1", "s2", "s3"), F.col("rep") == F.col("own")).drop("own"), "buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
     # a repeated id has one text here, that of its class's bag or any: equal ids with other texts keep their own class
     texts = texts.join(buckets.select(F.col("rep").alias("wanted")).distinct(), F.col("doc_id") == F.col("wanted"), "left_semi")
@@ -228,11 +230,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     held = _labelled(buckets, labels)
     open_ = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("band").alias("full"))
     held = held.join(open_, F.col("band") == F.col("full"), "left_semi")
-    held = cut(held.join(reps.select(F.col("doc_id").alias("own"), "sketch"), F.col("rep") == F.col("own")).drop("own"), "open")
+    held = cut(held.join(reps.select(F.col("doc_id").alias("own"), "sketch", "bands"), F.col("rep") == F.col("own")).drop("own"), "open")
     # shingles not shared are at most this share of all where the similarity is reached; the sketches bound them from below
     apart = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(LONGS)), F.lit(0))
     close = apart <= (F.col("x.size") + F.col("y.size")) * ((1 - similar) / (1 + similar))
-    pairs = held.alias("x").join(held.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near(F.col("x.size"), F.col("y.size")) & agree("x", "y") & close)
+    # a pair counts in the first bucket that both are in, so it is made once
+    band = lambda x, i: F.get(f"{x}.bands", F.lit(i))
+    met = F.coalesce(*(F.when(band("x", i) == band("y", i), band("x", i)) for i in range(BANDS)))
+    pairs = held.alias("x").join(held.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near(F.col("x.size"), F.col("y.size")) & agree("x", "y") & close & (met == F.col("x.band")))
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(_all(tried), ["a", "b"], "left_anti")
     links.append(cut(verify(cut(pairs, "pairs"), texts, similar), "links"))
     labels = components(_all(links))
