@@ -209,7 +209,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     buckets = cut(slim.join(reps.select(F.col("doc_id").alias("own"), "size", "s0", "s1", "s2", "s3"), F.col("rep") == F.col("own")).drop("own"), "buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
     # a repeated id has one text here, that of its class's bag or any: equal ids with other texts keep their own class
-    texts = texts.join(buckets.select(F.col("rep").alias("wanted")).distinct(), F.col("doc_id") == F.col("wanted"), "left_semi")
+    texts = texts.join(buckets.select(F.col("rep").alias("wanted")).distinct().hint("merge"), F.col("doc_id") == F.col("wanted"), "left_semi")
     texts = cut(texts.groupBy("doc_id").agg(F.min("words").alias("words")), "texts")
     near = lambda a, b: (F.least(a, b) >= F.greatest(a, b) * similar)
     agree = lambda x, y: sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(4)), F.lit(0)) <= SIZE - BITS
