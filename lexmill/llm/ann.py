@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import batches
+from lexmill.llm.common import batches, sample_of
 
 SAMPLE = 6000
 CHECKS = 300
@@ -157,7 +157,7 @@ def fit(sample: np.ndarray, parts: int = PARTS, recall: float = RECALL, hidden:
 def train(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, **how) -> Index | None:
     """Fits on at most ``sample`` valid vectors, taken in hash order."""
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & valid(F.col("vector")))
-    got = rows.orderBy(F.xxhash64(F.col("vec_id").cast("string"), F.lit(17)), "vec_id").limit(sample).toPandas()
+    got = sample_of(rows, "vec_id", sample, 17).toPandas()
     if len(got) < 2:
         return None
     lengths = got["vector"].map(len)

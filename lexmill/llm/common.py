@@ -73,6 +73,20 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def sample_of(rows: DataFrame, key: str, size: int, salt: int) -> DataFrame:
+    """About ``size`` rows, at most that many, by a hash of ``key``; the same rows whatever the partitions.
+
+    A threshold on the hash, from the number of rows, does the choosing, so that no task sends more than its share
+    to where the few are put in order.
+    """
+    total = rows.count()
+    order = F.xxhash64(F.col(key).cast("string"), F.lit(salt))
+    some = rows.withColumn("sample_order", order)
+    if total > size:
+        some = some.where(F.col("sample_order") < int(-(2**63) + 2**64 * (size / total)))
+    return some.orderBy("sample_order", key).limit(size).drop("sample_order")
+
+
 def doc_crc(id_col: str = "doc_id"):
     """crc32 of the id written as decimal text."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

@@ -10,7 +10,10 @@ own; an empty table gives no pieces. Columns other than the two named are ignore
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +26,14 @@ WINDOW = 2048
 #: The id put after every document.
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces of text remembered with their ids in one Python worker.
-CACHE = 400_000
+#: Words, and pieces, remembered with their ids in one Python worker.
+WORDS, PIECES = 150_000, 700_000
 
 #: How the vocabulary file splits text before merging. Only texts of code points below U+0250 are split here; there
-#: composition does nothing and lower-casing has no context (U+0130 aside). All other texts go to the library whole.
+#: composition does nothing and lower-casing has no context (U+0130 aside); the four separators below the blank are left
+#: out, as languages differ on whether they are white space. All other texts go to the library whole.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_OTHER = r"[^\x00-įı-ɏ]|<\|"
+_OTHER = r"[^\x00-\x1B\x20-įı-ɏ]|<\|"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,7 +43,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 16-bit bytes, with the pieces met so far remembered."""
+    """Token ids of whole texts as little-endian 16-bit bytes, with the words and pieces met so far remembered.
+
+    No piece spans white space, so a text is read word by word: most words are known, a new one is split into pieces, and
+    the library sees each new piece once. The first words met stay remembered, among them all frequent ones; of a full
+    memory of pieces the older half stays.
+    """
 
     def __init__(self, path: str):
         import os
@@ -49,13 +58,24 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(path)
-        if self.model.get_vocab_size() > 1 << 16:
-            raise ValueError("ids are kept in 16 bits; this vocabulary has more")
-        self.known: dict[str, bytes] = {}
+        if sys.byteorder != "little" or self.model.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept in 16 bits, low byte first")
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.split, self.other = regex.compile(_SPLIT).findall, regex.compile(_OTHER).search
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u2").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("H", x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        split = [self.split(w) for w in words]
+        known = self.pieces
+        fresh = list({p for pieces in split for p in pieces if p not in known})
+        if len(known) + len(fresh) > PIECES:
+            known = self.pieces = dict(islice(known.items(), PIECES // 2))
+            fresh = list({p for pieces in split for p in pieces if p not in known})
+        known.update(zip(fresh, self._library(fresh), strict=True))
+        return dict(zip(words, (b"".join(map(known.__getitem__, pieces)) for pieces in split), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -64,14 +84,22 @@ class Encoder:
             (whole if self.other(text) else plain).append(i)
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        if len(self.known) > CACHE:
-            self.known.clear()
-        split = [self.split(texts[i].lower()) for i in plain]
-        known = self.known
-        fresh = list({p for pieces in split for p in pieces if p not in known})
-        known.update(zip(fresh, self._library(fresh), strict=True))
-        for i, pieces in zip(plain, split, strict=True):
-            out[i] = b"".join(map(known.__getitem__, pieces))
+        split = [texts[i].lower().split() for i in plain]
+        found = [list(map(self.words.get, words)) for words in split]
+        gaps = []
+        for words, ids in zip(split, found, strict=True):
+            at, own = -1, []
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                own.append(at)
+            gaps.append(own)
+        new = self._learn(list({words[at] for words, own in zip(split, gaps, strict=True) for at in own}))
+        for i, words, ids, own in zip(plain, split, found, gaps, strict=True):
+            for at in own:
+                ids[at] = new[words[at]]
+            out[i] = b"".join(ids)
+        if len(self.words) < WORDS:
+            self.words.update(new)
         return out
 
 

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import batches, doc_crc
+from lexmill.llm.common import batches, doc_crc, sample_of
 
 BUCKETS = 1 << 18
 DIM = 6
 GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 8, 4
-SAMPLE = 4000
+SAMPLE = 3000
 RARE = 3
 DECAY = 1e-3
 THRESHOLD = 0.3
@@ -155,8 +155,12 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 30, seed: int
     flat = np.concatenate(split)
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     offsets = np.cumsum(sizes) - sizes
-    spans = [(o + b, o + e, d) for d, (o, k) in enumerate(zip(offsets, sizes, strict=True)) for b, e in zip(*windows(int(k)), strict=True)]
-    begins, ends, docs = (np.array(x, np.int64) for x in zip(*spans, strict=True))
+    spans = [windows(int(k)) for k in sizes]
+    many = np.fromiter((len(b) for b, _ in spans), np.int64, len(spans))
+    docs = np.repeat(np.arange(len(spans)), many)
+    begins = np.concatenate([b for b, _ in spans]) + offsets[docs]
+    ends = np.concatenate([e for _, e in spans]) + offsets[docs]
+    del spans
     counts = (ends - begins).astype(float)
     rng = np.random.default_rng(seed)
     emb, soft, bias = rng.normal(0, 0.05, (len(used), DIM)), rng.normal(0, 0.05, (DIM, 2)), np.zeros(2)
@@ -168,12 +172,14 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 30, seed: int
     toxic = labels[docs] == 1
     starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
     many = np.diff(np.concatenate([starts, [len(docs)]]))
-    word = np.zeros((len(per_word), DIM))
+    word, sums = np.zeros((len(per_word), DIM)), np.zeros(len(flat) + 1)
     for step in range(1, rounds + 1):
         for k in range(DIM):
             word[:, k] = np.bincount(owner, emb[gram, k], len(per_word)) / per_word
-        sums = np.concatenate([np.zeros((1, DIM)), np.cumsum(word[flat], axis=0)])
-        window = (sums[ends] - sums[begins]) / counts[:, None]
+        window = np.empty((len(counts), DIM))
+        for k in range(DIM):
+            np.cumsum(word[flat, k], out=sums[1:])
+            window[:, k] = (sums[ends] - sums[begins]) / counts
         logits = window @ soft + bias
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
@@ -187,8 +193,9 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 30, seed: int
         grad[np.arange(len(docs)), toxic.astype(int)] -= weight
         hot = np.flatnonzero(share)
         g_window = grad[hot] @ soft.T / counts[hot, None]
-        at = np.repeat(begins[hot], counts[hot].astype(np.int64)) + np.concatenate([np.arange(c) for c in counts[hot].astype(np.int64)])
-        inside = np.repeat(np.arange(len(hot)), counts[hot].astype(np.int64))
+        wide = (ends - begins)[hot]
+        inside = np.repeat(np.arange(len(hot)), wide)
+        at = np.arange(len(inside)) + (begins[hot] - np.cumsum(wide) + wide)[inside]
         g_emb = np.empty_like(emb)
         for k in range(DIM):
             g_word = np.bincount(flat[at], g_window[inside, k], len(per_word)) / per_word
@@ -224,8 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, id_col: str = "doc_i
     if allowed is not None:
         chosen = chosen.where(allowed)
     chosen = chosen.groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    order = F.xxhash64(F.col("label_id").cast("string"), F.lit(11))
-    some = [chosen.where(F.col("label") == y).orderBy(order, "label_id").limit(sample // 2) for y in (0, 1)]
+    some = [sample_of(chosen.where(F.col("label") == y), "label_id", sample // 2, 11) for y in (0, 1)]
     picked = some[0].unionByName(some[1])
     pairs = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("words")).join(F.broadcast(picked), F.col("key") == F.col("label_id"))
     rows = pairs.select("key", "label", "words").toPandas().sort_values(["key", "words"])
