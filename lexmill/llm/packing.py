@@ -68,14 +68,24 @@ class Encoder:
         return [array("H", x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        split = [self.split(w) for w in words]
+        # most words are letters only, or letters and one mark: their pieces are plain to see
+        marked = [w for w in words if not w.isalpha()]
+        ended = {w: w[:-1] for w in marked if w[:-1].isalpha() and not w[-1].isalnum()}
+        mixed = {w: self.split(w) for w in marked if w not in ended}
+        wanted = {w for w in words if w.isalpha()}
+        wanted.update(ended.values())
+        wanted.update(w[-1] for w in ended)
+        wanted.update(p for pieces in mixed.values() for p in pieces)
         known = self.pieces
-        fresh = list({p for pieces in split for p in pieces if p not in known})
+        fresh = [p for p in wanted if p not in known]
         if len(known) + len(fresh) > PIECES:
             known = self.pieces = dict(islice(known.items(), PIECES // 2))
-            fresh = list({p for pieces in split for p in pieces if p not in known})
+            fresh = [p for p in wanted if p not in known]
         known.update(zip(fresh, self._library(fresh), strict=True))
-        return dict(zip(words, (b"".join(map(known.__getitem__, pieces)) for pieces in split), strict=True))
+        out = {w: known[w] for w in words if w in wanted}
+        out.update((w, known[head] + known[w[-1]]) for w, head in ended.items())
+        out.update((w, b"".join(map(known.__getitem__, pieces))) for w, pieces in mixed.items())
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -111,6 +121,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        import gc
+
+        gc.disable()  # nothing here is cyclic, and the memory of words is large to walk through
         encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0
         for batch in it:
             ids = [x + tail for x in encoder(batch.column(1).to_pylist())]
