@@ -33,7 +33,7 @@ BUCKETS = 1 << 18
 DIM = 6
 GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 8, 4
-SAMPLE = 3000
+SAMPLE = 2400
 RARE = 3
 DECAY = 1e-3
 THRESHOLD = 0.3
@@ -110,10 +110,11 @@ class Scorer:
         if len(known) > CACHE:
             known.clear()
         fresh = list({w for words in split for w in words if w not in known})
-        if fresh:
-            ids, counts = grams(fresh)
+        for at in range(0, len(fresh), 10_000):
+            some = fresh[at : at + 10_000]
+            ids, counts = grams(some)
             sums = np.add.reduceat(model.weight[ids], np.concatenate([[0], np.cumsum(counts)[:-1]]))
-            known.update(zip(fresh, (sums / counts).tolist(), strict=True))
+            known.update(zip(some, (sums / counts).tolist(), strict=True))
         margin = np.full(len(texts), model.bias)
         for i, words in enumerate(split):
             if words:
@@ -136,8 +137,11 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 30, seed: int
     split = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
     if not vocabulary:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0, float(labels.mean()))
-    gram, per_word = grams(list(vocabulary))
-    owner = np.repeat(np.arange(len(per_word)), per_word)
+    distinct = list(vocabulary)
+    blocks = [grams(distinct[at : at + 10_000]) for at in range(0, len(distinct), 10_000)]
+    gram, per_word = np.concatenate([g.astype(np.int32) for g, _ in blocks]), np.concatenate([n for _, n in blocks])
+    del blocks, distinct, vocabulary
+    owner = np.repeat(np.arange(len(per_word), dtype=np.int32), per_word)
     # documents of either class that hold an n-gram
     first = np.concatenate([[0], np.cumsum(per_word)])
     seen = np.zeros((2, BUCKETS))
@@ -150,9 +154,10 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 30, seed: int
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     odds[seen.sum(0) < RARE] = 0
     keep = np.flatnonzero(seen.sum(0)[gram] >= RARE)
-    used, gram = np.unique(gram[keep], return_inverse=True)
-    owner = owner[keep]
-    flat = np.concatenate(split)
+    used = np.flatnonzero(np.bincount(gram[keep], minlength=BUCKETS))
+    gram, owner = np.searchsorted(used, gram[keep]).astype(np.int32), owner[keep]
+    del keep
+    flat = np.concatenate(split).astype(np.int32)
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     offsets = np.cumsum(sizes) - sizes
     spans = [windows(int(k)) for k in sizes]
@@ -212,7 +217,8 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 30, seed: int
 
 def calibrated(model: Model, texts: list[str | None], labels: np.ndarray) -> Model:
     """Newton steps for the two numbers of a logistic curve over the documents' margins."""
-    p = np.clip(Scorer(model)(texts), 1e-12, 1 - 1e-12)
+    scorer = Scorer(model)
+    p = np.clip(np.concatenate([scorer(texts[at : at + 200]) for at in range(0, len(texts), 200)]), 1e-12, 1 - 1e-12)
     z = np.log(p / (1 - p))
     mid, spread = z.mean(), z.std() or 1.0
     x = np.stack([(z - mid) / spread, np.ones(len(z))], 1)
