@@ -42,7 +42,7 @@ def _rank(chars: Column, key: Column, locator: Column) -> Column:
 
 @contextmanager
 def _on_disk(spark: SparkSession):
-    held, conf = {}, {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    held, conf = {}, {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.stateStore.unloadOnCommit": "true", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     for k, v in conf.items():
         held[k] = spark.conf.get(k, None)
         spark.conf.set(k, v)
