@@ -1,6 +1,6 @@
 """A suffix-stripping stemmer of Porter's kind, with the deviations that the index format expects.
 
-A word is seen through its shape, a string of one ``v`` or ``c`` a letter, in which ``y`` is a vowel unless a vowel
+A word is seen through its shape, a string of one ``V`` or ``C`` a letter, in which ``y`` is a vowel unless a vowel
 stands before it; the measure of a stem is how often a vowel run is followed by a consonant. Deviations from the published
 algorithm: undoubling also drops doubled vowels; ``y`` is never a vowel in the consonant-vowel-consonant test; the
 fourth step goes on to shorter suffixes where the measure is too low; the test for a vowel counts every ``y``.
@@ -27,12 +27,12 @@ _DOUBLE = re.compile(r"([^lsz])\1$").search
 
 def measure(stem: str) -> int:
     """Vowel runs that a consonant follows."""
-    shape = re.sub("[^aeiouy]", "c", re.sub("[aeiou]", "v", stem))
+    shape = re.sub("[aeiou]", "V", re.sub("[^aeiouy]", "C", stem))
     # from left to right a y is a vowel where no vowel precedes it
     while "y" in shape:
         at = shape.index("y")
-        shape = shape[:at] + ("c" if shape[:at].endswith("v") else "v") + shape[at + 1 :]
-    return len(re.findall("v+c", shape))
+        shape = shape[:at] + ("C" if shape[:at].endswith("V") else "V") + shape[at + 1 :]
+    return len(re.findall("V+C", shape))
 
 
 def _swap(word: str, rules: tuple[tuple[str, str], ...]) -> str:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions.stemmer import stem
 
@@ -35,7 +36,7 @@ def tokenize(text: str | None, options: TextOptions = TextOptions()) -> list[str
 _STOP = frozenset(STOPWORDS)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(tokens: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 
