@@ -3,8 +3,9 @@
 The digest of every document (of its text without white space) is a small record; these records stream through an
 aggregation keyed by digest whose state is kept in RocksDB, checkpointed to the shared folder, without a watermark.
 The state of a digest is the best document seen so far: its length, its stable id and a content locator, with the
-number of documents. Where a digest was hit more than once, the full bytes are read again through the locator and
-compared; documents whose digest agrees but whose bytes do not are regrouped by their bytes.
+number of documents. The locator is the place of the record in the written table of digests. Where a digest was hit
+more than once, the full bytes of all its texts are read again and compared; documents whose digest agrees but whose
+bytes do not are regrouped by their bytes.
 
 Null text is an empty text, so empty, blank and null texts are one group. Of equal texts the row with the most code
 points in its original text stays, then the smallest id; null ids come last. Rows that repeat an id are rows of their
