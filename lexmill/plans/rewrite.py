@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import SparkSession
 
-from lexmill.functions.text import TextOptions  # noqa: F401
 from lexmill.plans.query import And, Node, Not, Or, Term, fold
 
 _BLANK = " \t\n\v\f\r"
