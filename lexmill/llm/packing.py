@@ -10,13 +10,14 @@ own; an empty table gives no pieces. Columns other than the two named are ignore
 
 from __future__ import annotations
 
+import json
 import sys
-from array import array
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +27,15 @@ WINDOW = 2048
 #: The id put after every document.
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words, and pieces, remembered with their ids in one Python worker.
-WORDS, PIECES = 150_000, 700_000
+#: Pieces remembered with their ids in one Python worker, and bytes of text that are split at a time.
+PIECES, BYTES = 500_000, 8 << 20
 
-#: How the vocabulary file splits text before merging. Only texts of code points below U+0250 are split here; there
-#: composition does nothing and lower-casing has no context (U+0130 aside); the four separators below the blank are left
-#: out, as languages differ on whether they are white space. All other texts go to the library whole.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_OTHER = r"[^\x00-\x1B\x20-įı-ɏ]|<\|"
+#: How the vocabulary file splits text before merging, less the runs of letters between: a blank on either side of each
+#: match leaves pieces apart by white space. Only texts of code points below U+0250 are split here; there composition does
+#: nothing and lower-casing has no context (U+0130 aside); the four separators below the blank are left out, as languages
+#: differ on whether they are white space. All other texts go to the library whole.
+_APART = r"'s|'t|'re|'ve|'m|'ll|'d|\pN|[^\x09-\x0D\x20\pL\pN]+"
+_OTHER = r"[^\x00-\x1B\x20-\x{12F}\x{131}-\x{24F}]|<\|"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -42,77 +44,94 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in the vocabulary: itself if it is printable, else the next from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 0x100 + i for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Token ids of whole texts as little-endian 16-bit bytes, with the words and pieces met so far remembered.
+    """Token ids of whole texts as little-endian 16-bit bytes, with the pieces met so far remembered.
 
-    No piece spans white space, so a text is read word by word: most words are known, a new one is split into pieces, and
-    the library sees each new piece once. The first words met stay remembered, among them all frequent ones; of a full
-    memory of pieces the older half stays.
+    No piece spans white space or depends on its neighbours, so Arrow splits the texts of a batch and numbers their
+    distinct pieces, the library merges each new piece once, and Arrow puts the ids of the pieces in place of their
+    numbers. Of a full memory of pieces the older half stays: the first met, among them all frequent ones.
     """
 
     def __init__(self, path: str):
         import os
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.model = Tokenizer.from_file(path)
-        if sys.byteorder != "little" or self.model.get_vocab_size() > 1 << 16:
+        self.whole = Tokenizer.from_file(path)
+        size = self.whole.get_vocab_size()
+        if sys.byteorder != "little" or size > 1 << 16:
             raise ValueError("ids are kept in 16 bits, low byte first")
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.split, self.other = regex.compile(_SPLIT).findall, regex.compile(_OTHER).search
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("H", x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        # most words are letters only, or letters and one mark: their pieces are plain to see
-        marked = [w for w in words if not w.isalpha()]
-        ended = {w: w[:-1] for w in marked if w[:-1].isalpha() and not w[-1].isalnum()}
-        mixed = {w: self.split(w) for w in marked if w not in ended}
-        wanted = {w for w in words if w.isalpha()}
-        wanted.update(ended.values())
-        wanted.update(w[-1] for w in ended)
-        wanted.update(p for pieces in mixed.values() for p in pieces)
-        known = self.pieces
-        fresh = [p for p in wanted if p not in known]
-        if len(known) + len(fresh) > PIECES:
-            known = self.pieces = dict(islice(known.items(), PIECES // 2))
-            fresh = [p for p in wanted if p not in known]
-        known.update(zip(fresh, self._library(fresh), strict=True))
-        out = {w: known[w] for w in words if w in wanted}
-        out.update((w, known[head] + known[w[-1]]) for w, head in ended.items())
-        out.update((w, b"".join(map(known.__getitem__, pieces))) for w, pieces in mixed.items())
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        # merging alone, for pieces that are split and lower-cased already
+        self.merges = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+        suffix = parts["model"]["end_of_word_suffix"]
+        self.last = np.zeros(size, bool)
+        self.last[[i for token, i in self.merges.get_vocab().items() if token.endswith(suffix)]] = True
+        self.characters = {b: c for b, c in _byte_characters().items() if b != 10}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Merges new pieces, a thousand at a time; each one's last token is the only one to carry the end mark."""
+        spelt = "\n".join(fresh).encode().decode("latin-1").translate(self.characters).split("\n")
+        groups = [spelt[i : i + 1000] for i in range(0, len(spelt), 1000)]
+        found = self.merges.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint16) for x in found])
+        ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
+        data = ids.tobytes()
+        self.pieces.update(zip(fresh, (data[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def _split(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.utf8_lower(texts)
+        for blank in ("\x85", "\xa0"):  # Arrow's own split at these leaves some blanks at ends of texts
+            texts = pc.replace_substring(texts, blank, " ")
+        apart = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _APART, r" \0 "))
+        numbered = apart.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        fresh = [p for p in distinct if p not in self.pieces]
+        if fresh:
+            if len(self.pieces) + len(fresh) > PIECES:
+                self.pieces = dict(islice(self.pieces.items(), PIECES // 2))
+                fresh = [p for p in distinct if p not in self.pieces]
+            self._learn(fresh)
+        ids = pa.array([self.pieces[p] for p in distinct], pa.large_binary()).take(numbered.indices)
+        bounds = np.frombuffer(ids.buffers()[1], np.int64)[np.asarray(apart.offsets)].tolist()
+        data = memoryview(ids.buffers()[2]) if bounds[-1] else b""
+        return [bytes(data[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).cast(pa.large_string()).fill_null("")
         out: list = [None] * len(texts)
-        plain, whole = [], []
-        for i, text in enumerate(texts):
-            (whole if self.other(text) else plain).append(i)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        split = [texts[i].lower().split() for i in plain]
-        found = [list(map(self.words.get, words)) for words in split]
-        gaps = []
-        for words, ids in zip(split, found, strict=True):
-            at, own = -1, []
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                own.append(at)
-            gaps.append(own)
-        new = self._learn(list({words[at] for words, own in zip(split, gaps, strict=True) for at in own}))
-        for i, words, ids, own in zip(plain, split, found, gaps, strict=True):
-            for at in own:
-                ids[at] = new[words[at]]
-            out[i] = b"".join(ids)
-        if len(self.words) < WORDS:
-            self.words.update(new)
+        other = np.asarray(pc.match_substring_regex(texts, _OTHER))
+        whole = np.flatnonzero(other)
+        for i, found in zip(whole, self.whole.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, np.uint16).tobytes()
+        plain = np.flatnonzero(~other)
+        sizes = np.asarray(pc.binary_length(texts))[plain].cumsum()
+        for rows in np.split(plain, np.flatnonzero(np.diff(sizes // BYTES)) + 1):
+            for i, ids in zip(rows, self._split(texts.take(pa.array(rows))), strict=True) if len(rows) else ():
+                out[i] = ids
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker; what it remembers serves all tasks that the worker runs."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = END_ID) -> DataFrame:
     """First pass: per document its ids, their number, the partition, and the tokens before it in that partition."""
     path = path or tokenizer_path()
@@ -121,12 +140,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        import gc
-
-        gc.disable()  # nothing here is cyclic, and the memory of words is large to walk through
-        encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0
+        tokens, part, before = encoder(path), TaskContext.get().partitionId(), 0
         for batch in it:
-            ids = [x + tail for x in encoder(batch.column(1).to_pylist())]
+            ids = [x + tail for x in tokens(batch.column(1))]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             ends = before + np.cumsum(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part, np.int64)), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())], ["key", "part", "before", "n", "ids"])

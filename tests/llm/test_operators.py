@@ -121,6 +121,11 @@ def test_split_like_the_library():
         for _ in range(300):
             text = "".join(chr(c) for c in rng.integers(low, high, 30))
             assert np.frombuffer(encoder([text])[0], "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = [t for c in map(chr, range(0x250)) for t in (c, f"a{c}B", f"{c}s it{c}s 1{c}2", f" x {c} y ", f"'{c}ll{c}{c}", f"'s{c}'t")]
+    texts += ["", "日本語 text", "<|endoftext|> x", "e\u0301", "word " * 3_000_000]
+    for text, ids in zip(texts, encoder(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text[:99])
+    assert encoder([None, "a"])[0] == b""
 
 
 # toxicity
