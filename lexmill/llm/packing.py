@@ -27,7 +27,7 @@ WINDOW = 2048
 #: The id put after every document.
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces remembered with their ids in one Python worker, and bytes of text that are split at a time.
+#: Pieces remembered with their ids in one task, and bytes of text that are split at a time.
 PIECES, BYTES = 500_000, 8 << 20
 
 #: How the vocabulary file splits text before merging, less the runs of letters between: a blank on either side of each
@@ -122,16 +122,6 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker; what it remembers serves all tasks that the worker runs."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = END_ID) -> DataFrame:
     """First pass: per document its ids, their number, the partition, and the tokens before it in that partition."""
     path = path or tokenizer_path()
@@ -140,7 +130,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        tokens, part, before = Encoder(path), TaskContext.get().partitionId(), 0
         for batch in it:
             ids = [x + tail for x in tokens(batch.column(1))]
             n = np.array([len(x) // 2 for x in ids], np.int64)
