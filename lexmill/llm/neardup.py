@@ -233,7 +233,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     held = cut(held.join(reps.select(F.col("doc_id").alias("own"), "sketch", "bands"), F.col("rep") == F.col("own")).drop("own"), "open")
     # shingles not shared are at most this share of all where the similarity is reached; the sketches bound them from below
     apart = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(LONGS)), F.lit(0))
-    close = apart <= (F.col("x.size") + F.col("y.size")) * ((1 - similar) / (1 + similar))
+    # the tolerance keeps pairs at exactly the threshold, where both sides are equal but for rounding
+    both = F.col("x.size") + F.col("y.size")
+    close = apart * (1 + similar) <= both * (1 - similar + 1e-9)
     # a pair counts in the first bucket that both are in, so it is made once
     band = lambda x, i: F.get(f"{x}.bands", F.lit(i))
     met = F.coalesce(*(F.when(band("x", i) == band("y", i), band("x", i)) for i in range(BANDS)))

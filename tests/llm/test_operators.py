@@ -222,6 +222,18 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_at_exactly_the_threshold(spark):
+    """Pairs with 80 of 100 shingles in common, in buckets crowded by texts that are not linked to them."""
+    rng = np.random.default_rng(7)
+    text = lambda places, v: " ".join(f"x{i}y{v}" if i in places else f"w{i}" for i in range(94))
+    rows = [(i, text(rng.choice(94, 3, replace=False), i)) for i in range(200)]
+    rows += [(1000 + 10 * at + v, text(range(at, at + 6), 1000 + v)) for at in range(5, 85, 10) for v in range(2)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert all(want[1001 + 10 * at] == want[1000 + 10 * at] for at in range(5, 85, 10)) and len(set(want.values())) > 100
+    assert got == want
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     for _ in range(3):
