@@ -463,6 +463,16 @@ def test_lm_windows_score_each_token_once():
         assert g[k][at] == pytest.approx((values[0] - values[1]) / 2e-4, abs=2e-4), k
 
 
+def test_lm_leading_ids_are_those_of_whole_words():
+    from tokenizers import Tokenizer
+
+    model, leading = Tokenizer.from_file(packing.tokenizer_path()), lm.Leading(packing.tokenizer_path())
+    words = ["information", "government", "a", "правительство", "日本語の文章", "x" * 5000, "information"]
+    for _ in range(2):
+        assert leading([w.encode() for w in words]).tolist() == [model.encode(w, add_special_tokens=False).ids[0] for w in words]
+    assert len(leading.known) == 5
+
+
 def test_lm_odd_rows(spark):
     docs = odd_documents(spark)
     out = lm.score_corpus(docs).collect()
