@@ -473,6 +473,22 @@ def test_lm_leading_ids_are_those_of_whole_words():
     assert len(leading.known) == 5
 
 
+@pytest.mark.parametrize("length,sample", [(12_500, 800), (1000, 0)])
+def test_lm_learns_from_all_training_rows(spark, monkeypatch, length, sample):
+    """Long texts are learnt from, and so are texts outside the sample that the fit starts from."""
+    monkeypatch.setattr(lm, "SAMPLE", sample)
+    rows = [(i, "a b " * (length // 2)) for i in range(40)]
+    out = lm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # three tokens in all; a model that learnt nothing gives each class one in 64, which is 1.8 digits
+    assert len(out) == 40 and min(r["score"] / r["n_tokens"] for r in out) > -0.6
+
+
+def test_lm_neighbours_are_counted_in_all_rows(spark):
+    rows = [(np.array(x, "<i4").tobytes(),) for x in ([1, 2, 3, 4, 5], [2], [], [5, 1])]
+    got = lm.neighbours(spark.createDataFrame(rows, "ids binary").repartition(3), np.array([1, 5]), 6)
+    assert got[:, :2].tolist() == [[0, 0], [0, 1], [1, 1], [1, 1], [1, 1], [1, 0]] and got[:, 2:].sum() == 0
+
+
 def test_lm_odd_rows(spark):
     docs = odd_documents(spark)
     out = lm.score_corpus(docs).collect()
