@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +17,30 @@ def delta_encode(values: Column) -> Column:
     return F.when(F.size(values) == 0, F.array().cast("array<long>")).otherwise(F.zip_with(values.cast("array<long>"), before, lambda x, y: F.pmod(x - y, F.lit(LIMIT))))
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray, gone: np.ndarray) -> pa.Array:
+    """Lists of ``sizes`` values each, null where ``gone``."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()), mask=pa.array(gone))
+
+
 def delta_decode(gaps: Column) -> Column:
-    """Running sums of the gaps, modulo 2^32."""
-    empty = F.array().cast("array<long>")
-    return F.aggregate(gaps.cast("array<long>"), empty, lambda done, x: F.concat(done, F.array(F.pmod(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x, F.lit(LIMIT)))))
+    """Running sums of the gaps, modulo 2^32; a null gap is null and the sum begins anew after it."""
+
+    @F.arrow_udf("array<long>")
+    def sums(column: pa.Array) -> pa.Array:
+        flat, gone = column.flatten(), np.asarray(column.is_null())
+        sizes = np.asarray(column.value_lengths().fill_null(0), np.int64)
+        none = np.asarray(flat.is_null())
+        x = np.asarray(flat.fill_null(0), np.int64) % LIMIT
+        done = np.concatenate([[0], np.cumsum(x)])
+        first = np.zeros(len(x), np.int64)
+        starts = np.cumsum(sizes) - sizes
+        first[starts[sizes > 0]] = starts[sizes > 0]
+        first[none] = np.flatnonzero(none)
+        values = pa.array((done[1:] - done[np.maximum.accumulate(first)]) % LIMIT, mask=none)
+        return _lists(values, sizes, gone)
+
+    return sums(gaps.cast("array<long>"))
 
 
 def varbyte_size(value: Column) -> Column:
@@ -47,23 +70,27 @@ def compress(values: Column) -> Column:
 
 def varbyte_decode(data: Column) -> Column:
     """The list in a byte string; null where it breaks off inside a value or a value has more than five bytes."""
-    n = F.length(data)
-    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long")
-    start = F.struct(F.array().cast("array<long>").alias("done"), F.lit(0).cast("long").alias("value"), F.lit(0).alias("shift"), F.lit(True).alias("good"))
-
-    def step(state: Column, i: Column) -> Column:
-        b = byte(i)
-        value = state["value"] + b.bitwiseAND(127) * F.element_at(F.array(*(F.lit(1 << s).cast("long") for s in (0, 7, 14, 21, 28, 35))), F.least(F.floor(state["shift"] / 7), F.lit(5)).cast("int") + 1)
-        ends, good = b < 128, state["good"] & (state["shift"] <= 28)
-        return F.struct(
-            F.when(ends, F.concat(state["done"], F.array(F.pmod(value, F.lit(LIMIT))))).otherwise(state["done"]).alias("done"),
-            F.when(ends, F.lit(0).cast("long")).otherwise(value).alias("value"),
-            F.when(ends, F.lit(0)).otherwise(state["shift"] + 7).alias("shift"),
-            good.alias("good"),
-        )
-
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda s: F.when(s["good"] & (s["shift"] == 0), s["done"]))
+
+    @F.arrow_udf("array<long>")
+    def lists(column: pa.Array) -> pa.Array:
+        sizes = np.asarray(pa.compute.binary_length(column).fill_null(0), np.int64)
+        flat = np.frombuffer(b"".join(x for x in column.to_pylist() if x), np.uint8).astype(np.int64)
+        gone = np.asarray(column.is_null()).copy()
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        last = (np.cumsum(sizes) - 1)[sizes > 0]
+        ends = flat < 128
+        gone[owner[last[~ends[last]]]] = True
+        ends[last] = True
+        at = np.flatnonzero(ends)
+        starts = np.concatenate([[0], at[:-1] + 1]) if len(at) else at
+        long = at - starts + 1
+        gone[owner[at[long > 5]]] = True
+        place = np.minimum(np.arange(len(flat)) - np.repeat(starts, long), 5)
+        values = np.add.reduceat((flat & 127) << 7 * place, starts) % LIMIT if len(at) else at
+        counts = np.bincount(owner[at], minlength=len(sizes))
+        return _lists(values, counts, gone)
+
+    return lists(data)
 
 
 def decompress(data: Column) -> Column:

@@ -161,6 +161,13 @@ def varbyte_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("term", "doc_id", F.length(data).alias("n_bytes"), F.concat_ws(" ", codecs.decompress(data).cast("array<string>")).alias("positions"))
 
 
+def varbyte_round_trip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """varbyte_round_trip() for every posting, the long lists of frequent terms too."""
+    data = codecs.compress(F.col("positions"))
+    rows = index_of(spark, sf_dir).postings
+    return rows.select("term", "doc_id", F.length(data).alias("n_bytes"), F.concat_ws(" ", codecs.decompress(data).cast("array<string>")).alias("positions"))
+
+
 def compressed_index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of document ids and of positions over all terms of the compressed format."""
     rows = rank_positions(index_of(spark, sf_dir).postings)
@@ -188,7 +195,7 @@ def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (tokenize, tokenize_stopwords, doc_length, postings, term_df, term_tf, corpus_stats, phrase_stopworded, scan_nested, posting_docs, bool_by_sets, synonym_bool, bm25_all_scores, delta_gaps, delta_decode, varbyte_size, varbyte_round_trip, compressed_index_size, percentiles, stem_vocab, bm25_stemmed)
+    plain = (tokenize, tokenize_stopwords, doc_length, postings, term_df, term_tf, corpus_stats, phrase_stopworded, scan_nested, posting_docs, bool_by_sets, synonym_bool, bm25_all_scores, delta_gaps, delta_decode, varbyte_size, varbyte_round_trip, varbyte_round_trip_all, compressed_index_size, percentiles, stem_vocab, bm25_stemmed)
     sets = {"intersect_two": setops.intersect_merge, "intersect_gallop": setops.intersect_gallop, "intersect_skip": setops.intersect_skip, "unite": setops.unite, "difference": setops.difference}
     return {f.__name__: f for f in plain} | {n: _boolean(n) for n in BOOLEAN} | {n: _bm25(n) for n in RANKED} | {n: _sets(f) for n, f in sets.items()}
 
@@ -273,6 +280,7 @@ def oracle_sql() -> dict[str, str]:
         "delta_decode": f"SELECT term, doc_id, array_to_string(ps, ' ') AS positions FROM ({_POSTINGS})",
         "varbyte_size": f"SELECT doc_id, CAST({size('n_chars')} AS INTEGER) AS n_bytes FROM documents",
         "varbyte_round_trip": f"SELECT term, doc_id, CAST({bytes_} AS INTEGER) AS n_bytes, array_to_string(ps, ' ') AS positions FROM ({_POSTINGS}) WHERE tf <= 64",
+        "varbyte_round_trip_all": f"SELECT term, doc_id, CAST({bytes_} AS INTEGER) AS n_bytes, array_to_string(ps, ' ') AS positions FROM ({_POSTINGS})",
         "compressed_index_size": f"SELECT CAST(sum({size('gap')}) AS BIGINT) AS id_bytes, CAST(sum({bytes_}) AS BIGINT) AS position_bytes FROM (SELECT ps, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM ({_POSTINGS}))",
         "percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
     }

@@ -151,6 +151,16 @@ def test_codecs(spark):
     assert [r["x"] for r in bad] == [None, None]
 
 
+def test_round_trip_holds_long_lists(spark, tmp_path):
+    text = "the " * 3000 + "other " * 20_000 + "the rare " * 70
+    spark.createDataFrame([(1, text), (2, "the the")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["term"], r["doc_id"]): (r["n_bytes"], r["positions"]) for r in queries.queries()["varbyte_round_trip_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 4
+    for (term, doc), (n, positions) in got.items():
+        want = [i for i, w in enumerate({1: text, 2: "the the"}[doc].split()) if w == term]
+        assert positions == " ".join(map(str, want)) and n == len(codecs.pack_numbers(want))
+
+
 def test_files_and_stores(spark, tmp_path):
     folder = tmp_path / "docs"
     (folder / "a").mkdir(parents=True)
