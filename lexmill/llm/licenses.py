@@ -58,15 +58,17 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("ver\\. ", "version "),
     ("https://", "http://"),
 )
-#: A line that states a copyright: dropped before anything else.
+#: A line that begins like one that states a copyright; the SQL of the query has it.
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
+#: A line that states a copyright, dropped before anything else: not one that goes on with a word of the licences' own sentences.
+STATES = COPYRIGHT.replace("(copyright|", r"(copyright(?![ \t]+(?:notices?|holders?|owners?|licen[sc]es?|laws?|disclaimer|statements?|and|or|in|is|as|are|of)\b)|")
 #: The first step tells letters with a sign apart from punctuation; DuckDB and Spark read it alike.
 MARKS = r"[^a-z0-9à-öø-ÿ]+"
 
 
 def canonical(text: Column) -> Column:
     """The normal form that digests are made of."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, " ")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), STATES, " ")
     for found, put in SPELLINGS:
         out = F.regexp_replace(out, found, put)
     return F.trim(F.regexp_replace(out, MARKS, " "))
@@ -82,16 +84,13 @@ def known(spark: SparkSession, texts=KNOWN) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts=KNOWN) -> DataFrame:
     """``doc_id, text_license, notices``: the licence that the entire text is, and those of its lines, sorted.
 
-    A unit longer than eight times the longest known text plus 4,096 code points cannot be one of them unless it is
-    mostly punctuation; such units are normalised like all others, so nothing is missed.
+    Every text and every line is normalised and digested, whatever ``texts`` are and however long it is.
     """
     table = F.broadcast(known(docs.sparkSession, texts).select("digest", "license"))
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     # the whole text comes first and is told from its lines by its place
     units = base.select("doc_id", F.posexplode(F.concat(F.array("body"), F.split("body", "\n"))).alias("place", "unit"))
-    # a cheap necessary condition, exact for the known texts: each of them has one of these stems
-    stems = r"(?i)licen[sc]e|licensed|permission|cc ?by|cc0"
-    hits = units.where(F.col("unit").rlike(stems)).select("doc_id", "place", F.sha2(canonical(F.col("unit")), 256).alias("digest")).join(table, "digest")
+    hits = units.select("doc_id", "place", F.sha2(canonical(F.col("unit")), 256).alias("digest")).join(table, "digest")
     found = hits.groupBy("doc_id").agg(F.max(F.when(F.col("place") == 0, F.col("license"))).alias("text_license"), F.array_sort(F.collect_set("license")).alias("notices"))
     ids = base.select("doc_id").distinct()
     joined = ids.join(found.withColumnRenamed("doc_id", "found_id"), ids["doc_id"].eqNullSafe(F.col("found_id")), "left")

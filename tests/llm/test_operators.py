@@ -173,6 +173,31 @@ def test_licenses(spark):
     assert licenses.scan(odd_documents(spark).limit(0)).count() == 0
 
 
+ISC = """Copyright (c) 2020, Somebody
+Copyright 2021 And Others
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are allowed provided that the following
+conditions are met: redistributions of source code must retain the above copyright notice, this list of conditions and the disclaimer."""
+
+
+def test_licenses_keep_lines_that_only_begin_with_copyright(spark):
+    isc, mit = (next(t for n, t in licenses.KNOWN if n == name and len(t) > 500) for name in ("ISC", "MIT"))
+    rows = [(20, ISC + isc[isc.index("THE SOFTWARE") :]), (21, mit.replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS")), (22, mit.replace("MIT License", "MIT License\n(c) Me\n\tCopyright: 2019 You\n"))]
+    got = {r["doc_id"]: r["text_license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {20: "ISC", 21: "MIT", 22: "MIT"}
+
+
+def test_licenses_find_any_text_given(spark):
+    docs = spark.createDataFrame([(1, BSD), (2, "x\n" + BSD.replace("\n", " ")), (3, "none")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text_license"], r["notices"]) for r in licenses.scan(docs, texts=[("BSD", BSD)]).collect()}
+    assert got == {1: ("BSD", ["BSD"]), 2: (None, ["BSD"]), 3: (None, [])}
+
+
 # near duplicates
 
 
