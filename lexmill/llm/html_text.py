@@ -4,10 +4,11 @@ A page is read by the standard library's streaming parser. Its events make lines
 begins or ends, whether or not the markup is well formed. A line has its characters of text, the number of tags since
 the line before, and where it stands: inside an element that never holds main text (``nav``, ``footer``, ``form``,
 ``script`` ...; or one whose class or id has a word such as ``ad`` or ``sidebar``), and inside ``article`` or
-``main``. The text-to-tag ratios of the lines, smoothed by a Gaussian, are split at a share of their standard
-deviation, and the lines above it form clusters. A region (an ``article`` or ``main`` element, or else the body) that holds a line
+``main``. The text-to-tag ratios of the lines, at most ``FULL`` each so that a long block counts no more than a
+paragraph, are smoothed by a Gaussian and split at a share of their standard deviation, and the lines above it form clusters. A region (an ``article`` or ``main`` element, or else the body) that holds a line
 of a cluster is content: inside a marked region all lines stay, short ones too; without one, the lines from the first
-to the last of the cluster stay, less the ones that stand in excluded elements.
+to the last of the cluster stay, and the ones before and after them up to an excluded line or one that is mostly
+markup, less the ones that stand in excluded elements.
 
 Null, empty and text-free pages give an empty text. Repeated pages are rows of their own; columns other than the three
 named are ignored; nothing is dropped or shortened. An end tag that nothing opened is ignored; elements left open end
@@ -30,6 +31,10 @@ from lexmill.llm.common import batches
 SIGMA = 1.5
 #: Share of the standard deviation of the smoothed ratios above which a line belongs to a cluster.
 CUT = 0.5
+#: Characters per tag from which a line is text and nothing else; with ``CUT`` no such line by itself falls below the cut.
+FULL = 100.0
+#: A line of more tags than this and fewer characters per tag is mostly markup.
+FEW_TAGS, SPARSE = 3, 10.0
 
 # Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noframes noscript ol option p pre search section select summary table tbody td template tfoot th thead title tr ul".split())
@@ -114,14 +119,19 @@ class Lines(HTMLParser):
 
 
 def ratios(lines: list[tuple[str, int, bool, int]], sigma: float = SIGMA) -> np.ndarray:
-    """Smoothed characters per tag of every line; excluded lines count as having no text."""
-    raw = np.array([0.0 if off else len(text) / max(tags, 1) for text, tags, off, _ in lines])
+    """Smoothed characters per tag, ``FULL`` at most, of every line; excluded lines count as having no text."""
+    raw = np.array([0.0 if off else min(len(text) / max(tags, 1), FULL) for text, tags, off, _ in lines])
     reach = max(1, int(np.ceil(3 * sigma)))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     padded = np.pad(raw, reach, mode="edge")
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def _is_text(line: tuple[str, int, bool, int]) -> bool:
+    text, tags, off, _ = line
+    return not off and (tags <= FEW_TAGS or len(text) / tags >= SPARSE)
+
+
 def main_text(html: str | None, cut: float = CUT) -> str:
     """Blocks of main text in page order, joined by an empty line."""
     parser = Lines()
@@ -138,7 +148,12 @@ def main_text(html: str | None, cut: float = CUT) -> str:
     regions = {lines[i][3] for i in hot} - {0}
     if regions:
         return "\n\n".join(text for text, _, off, region in lines if region in regions and not off)
-    return "\n\n".join(lines[i][0] for i in range(hot[0], hot[-1] + 1) if not lines[i][2])
+    first, last = hot[0], hot[-1]
+    while first > 0 and _is_text(lines[first - 1]):
+        first -= 1
+    while last + 1 < len(lines) and _is_text(lines[last + 1]):
+        last += 1
+    return "\n\n".join(lines[i][0] for i in range(first, last + 1) if not lines[i][2])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

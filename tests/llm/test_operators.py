@@ -397,6 +397,17 @@ def test_html_articles(con):
         assert html_text.main_text(text) == "\n\n".join(b for b in blocks if b), page
 
 
+@pytest.mark.parametrize("n,length,block", [(20, 300, 5000), (60, 600, 60_000), (20, 60, 60_000)])
+@pytest.mark.parametrize("region", [False, True])
+def test_html_one_long_block_hides_nothing(n, length, block, region):
+    lines = ["Title", *(f"{i} ".ljust(length, "x") for i in range(n)), "y" * block]
+    body = "".join(f"<p>{x}</p>" for x in lines[1:-1])
+    story, code = (f"<article><h1>Title</h1>{body}</article>", f"<article><pre>{lines[-1]}</pre></article>") if region else (f"<h1>Title</h1>{body}", f"<pre>{lines[-1]}</pre>")
+    page = f"<body><nav><a>One</a><a>Two</a></nav><ul>{'<li><b><a href=1>Go</a></b></li>' * 30}</ul>{story}{code}<footer>us</footer>"
+    got = html_text.main_text(page).split("\n\n")
+    assert got[-len(lines) :] == lines and len(got) < len(lines) + 10
+
+
 def test_html_noise_and_broken_markup(spark):
     story = "It was a long story of many words, told slowly and with care, that went on and on. "
     page = f"""<html><head><title>T</title><body><div id=menu><a href=1>One</a><a href=2>Two</a></div><div class="cookie-notice">We use cookies</div>
