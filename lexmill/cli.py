@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import time
 
@@ -10,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import TextOptions
-from lexmill.operators import search
+from lexmill.operators import search, setops
 from lexmill.operators.index import build_index
 from lexmill.plans.query import QueryError, parse
 from lexmill.plans.rewrite import load_synonyms
@@ -32,6 +33,20 @@ def percentile(values: list[float], p: float) -> float:
     return values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low])
 
 
+def rss_bytes() -> int:
+    """Resident memory of this process and of the JVM that it started, where the system tells; else 0."""
+    pids, total = ["self"], 0
+    try:
+        with open(f"/proc/self/task/{os.getpid()}/children") as file:
+            pids += file.read().split()
+        for pid in pids:
+            with open(f"/proc/{pid}/status") as file:
+                total += sum(1024 * int(x.split()[1]) for x in file if x.startswith("VmRSS:"))
+    except (OSError, ValueError):
+        return total
+    return total
+
+
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lexmill")
     commands = top.add_subparsers(dest="command", required=True)
@@ -97,7 +112,17 @@ def run_bench(spark: SparkSession, docs: int, seed: int, out: str) -> int:
             at = time.time()
             search.rank_terms(index, query.replace(" AND", "").replace(" OR", "").split()).collect()
             took.append(time.time() - at)
-    report = f"| metric | value |\n| --- | --- |\n| documents | {docs} |\n| build seconds | {built:.3f} |\n| ranked query p50 seconds | {percentile(took, 0.5):.3f} |\n| ranked query p95 seconds | {percentile(took, 0.95):.3f} |\n"
+    ids = spark.range(50_000).select(F.col("id").alias("doc_id")).cache()
+    few = ids.where("doc_id % 997 = 0").cache()
+    ids.count(), few.count()
+    meet = {}
+    for mode, intersect in setops.INTERSECT.items():
+        for _ in range(3):
+            at = time.time()
+            intersect(few, ids).count()
+            meet.setdefault(mode, []).append(time.time() - at)
+    lines = "".join(f"| intersection p50, p95 seconds ({mode}) | {percentile(t, 0.5):.3f}, {percentile(t, 0.95):.3f} |\n" for mode, t in meet.items())
+    report = f"| metric | value |\n| --- | --- |\n| documents | {docs} |\n| build seconds | {built:.3f} |\n| ranked query p50 seconds | {percentile(took, 0.5):.3f} |\n| ranked query p95 seconds | {percentile(took, 0.95):.3f} |\n{lines}| resident bytes | {rss_bytes()} |\n"
     print(report, end="")
     if out:
         with open(out, "w", encoding="utf-8") as file:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,16 +39,21 @@ def tokenize(text: str | None, options: TextOptions = TextOptions()) -> list[str
 _STOP = frozenset(STOPWORDS)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(tokens: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
+@lru_cache(maxsize=1 << 18)
+def _stem(token: str) -> str:
+    return stem(token)
 
-    def of(token: str) -> str:
-        if token not in known:
-            known[token] = stem(token)
-        return known[token]
 
-    return tokens.map(lambda row: [s for s in map(of, row) if s])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stemmed(column: pa.Array) -> pa.Array:
+    """Stems of lists of tokens: of each batch every distinct token is stemmed once, and workers remember the last ones."""
+    flat = column.flatten().dictionary_encode()
+    known = pa.array([_stem(t) for t in flat.dictionary.to_pylist()], pa.string())
+    stems = known.take(flat.indices)
+    kept = np.asarray(pc.not_equal(stems, ""), bool)
+    ends = np.concatenate([[0], np.cumsum(kept)])
+    bounds = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64))])
+    return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), stems.filter(pa.array(kept)))
 
 
 def tokens(text: Column, options: TextOptions = TextOptions()) -> Column:
@@ -55,3 +63,24 @@ def tokens(text: Column, options: TextOptions = TextOptions()) -> Column:
     if options.remove_stopwords:
         out = F.filter(out, lambda t: ~t.isin(STOPWORDS))
     return _stemmed(out) if options.stem else out
+
+
+def split(texts: pa.Array, options: TextOptions = TextOptions()) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """tokenize() of an Arrow array of texts: numbers of the words of all texts one after another, where each text begins
+    and ends among them, and the distinct words that the numbers stand for."""
+    texts = pc.ascii_lower(pc.replace_substring_regex(texts.cast(pa.large_string()).fill_null(""), "[^A-Za-z0-9]+", " "))
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten().dictionary_encode()
+    names, numbers, offsets = flat.dictionary, np.asarray(flat.indices, np.int64), np.asarray(lists.offsets, np.int64)
+    offsets = offsets - offsets[0]
+    keep = np.asarray(pc.not_equal(names, ""), bool)  # blanks at either end of a text leave an empty word
+    if options.remove_stopwords:
+        keep &= ~np.asarray(pc.is_in(names, pa.array(STOPWORDS, names.type)), bool)
+    if options.stem:
+        stems = pa.array([_stem(t) for t in names.to_pylist()], pa.string()).dictionary_encode()
+        keep &= np.asarray(pc.not_equal(stems, ""), bool)
+        numbers_of, names = np.asarray(stems.indices, np.int64), stems.dictionary
+    else:
+        numbers_of = np.arange(len(names))
+    kept = keep[numbers]
+    return numbers_of[numbers[kept]], np.concatenate([[0], np.cumsum(kept)])[offsets], names

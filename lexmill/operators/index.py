@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import TextOptions, tokens
+from lexmill.functions.text import TOKEN, TextOptions, split, tokens
+from lexmill.sources.scratch import written
 
 
 @dataclass
@@ -45,40 +49,66 @@ class SearchIndex:
         return self.docs.select("doc_id")
 
 
-def postings_of(tokenized: DataFrame) -> DataFrame:
-    """``term, doc_id, tf, positions`` from ``doc_id, tokens``.
+def postings_of(docs: DataFrame, options: TextOptions = TextOptions()) -> DataFrame:
+    """``term, doc_id, tf, positions`` from ``doc_id, text``.
 
-    Positions of a term are found inside the row of its document, so nothing is shuffled: pairs of token and place are
-    sorted and cut where the token changes.
+    A document's postings are made where its row is: Arrow splits a batch of texts and numbers their words, and one sort
+    by document, word and place brings the positions of each posting together. Nothing is shuffled.
     """
-    pairs = tokenized.select("doc_id", F.posexplode("tokens").alias("position", "term"))
-    grouped = pairs.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    return grouped.select("term", "doc_id", F.size("positions").alias("tf"), "positions")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, offsets, names = split(batch.column(1), options)
+            sizes = np.diff(offsets)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(words)) - np.repeat(offsets[:-1], sizes)
+            pair = owner * max(len(names), 1) + words
+            order = np.argsort(pair, kind="stable")
+            pair, place = pair[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+            ends = np.concatenate([first, [len(pair)]]).astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))
+            terms, rows = names.take(pa.array(pair[first] % max(len(names), 1))), pa.array(pair[first] // max(len(names), 1))
+            yield pa.RecordBatch.from_arrays([terms, batch.column(0).take(rows), pa.array(np.diff(ends)), positions], ["term", "doc_id", "tf", "positions"])
 
-def tokenized(docs: DataFrame, options: TextOptions, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    path = F.col(path_col) if path_col else F.col(id_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), tokens(F.col(text_col), options).alias("tokens"))
+    return docs.mapInArrow(run, "term string, doc_id long, tf int, positions array<int>")
+
+
+def lengths_of(docs: DataFrame, options: TextOptions = TextOptions()) -> DataFrame:
+    """``doc_id, path, length`` from ``doc_id, path, text``."""
+    if options == TextOptions():
+        length = F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0))
+    else:
+        length = F.size(tokens(F.col("text"), options))
+    return docs.select("doc_id", "path", length.alias("length"))
+
+
+def corpus_of(docs: DataFrame) -> DataFrame:
+    """``n_docs, total_len, avgdl``: one row, also without documents."""
+    out = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_len"))
+    return out.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs")).otherwise(0.0))
 
 
 def build_index(docs: DataFrame, options: TextOptions = TextOptions(), id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> SearchIndex:
     """An index over any table with an id and a text. Texts that are null are empty."""
-    rows = tokenized(docs, options, id_col, text_col, path_col)
-    lengths = rows.select("doc_id", "path", F.size("tokens").alias("length"))
-    postings = postings_of(rows)
-    terms = rows.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    term_stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    total = F.coalesce(F.sum("length"), F.lit(0)).cast("long")
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), total.alias("total_len"))
-    corpus = corpus.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs")).otherwise(0.0))
-    return SearchIndex(lengths, postings, term_stats, corpus, options)
+    path = F.col(path_col or id_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    lengths = lengths_of(rows, options)
+    postings = postings_of(rows.select("doc_id", "text"), options)
+    # the shuffle carries one row a term and task: counts are combined before it
+    term_stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return SearchIndex(lengths, postings, term_stats, corpus_of(lengths), options)
 
 
 def numbered(docs: DataFrame, order_col: str) -> DataFrame:
-    """Dense ids 0, 1, 2 ... in the order of a column: counts a partition first, so no task holds all rows."""
+    """Dense ids 0, 1, 2 ... in the order of a column.
+
+    The rows are dealt by ranges, sorted and written once; counting a partition and numbering then read the same files, so no
+    row can change its partition in between, and no task holds all rows.
+    """
     spark: SparkSession = docs.sparkSession
-    parts = docs.repartitionByRange(F.col(order_col)).sortWithinPartitions(order_col).withColumn("part", F.spark_partition_id())
-    parts = parts.withColumn("place", F.monotonically_increasing_id())
+    parts = docs.repartitionByRange(F.col(order_col)).sortWithinPartitions(order_col)
+    parts = written(parts.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "numbered")
     counts = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     bases, at = {}, 0
     for part in sorted(counts):
@@ -86,6 +116,7 @@ def numbered(docs: DataFrame, order_col: str) -> DataFrame:
         at += counts[part]
     if not bases:
         return docs.withColumn("doc_id", F.lit(0).cast("long"))
+    # one number a partition
     table = F.broadcast(spark.createDataFrame(list(bases.items()), "part int, base long"))
     inside = F.col("place").bitwiseAND((1 << 33) - 1)
     return parts.join(table, "part").withColumn("doc_id", F.col("base") + inside).drop("part", "place", "base")

@@ -7,8 +7,11 @@ come in only if the predicate holds for them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,15 +136,44 @@ def scores(index: SearchIndex, rows: DataFrame, pivot: _Pivot, terms: list[str],
     return joined.select("doc_id", total.alias("score")).where("score > 0")
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int, last: bool) -> np.ndarray:
+    """Rows that a ranking of ``k`` places may need; at the end, the places themselves in order.
+
+    The edge is the ``k``-th highest score. Of rows at the edge, those with the least and those with the greatest ids may
+    be needed: a row of another part can only lift the edge, and then no row of this one's edge counts.
+    """
+    edge = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+    if not last:
+        level = np.flatnonzero(scores == edge)
+        level = level[np.argsort(ids[level], kind="stable")]
+        return np.concatenate([np.flatnonzero(scores > edge), level if len(level) <= 2 * k else np.concatenate([level[:k], level[-k:]])])
+    reach = np.flatnonzero(scores >= edge)
+    first = reach[np.argsort(ids[reach], kind="stable")[:k]]
+    chosen = np.union1d(np.flatnonzero(scores > edge), first)
+    return chosen[np.lexsort((-ids[chosen], -scores[chosen]))[:k]]
+
+
 def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best by score and then greater id, where the last places among equals go to those with the least ids."""
-    best = scored.orderBy(F.desc("score"), F.desc("doc_id")).limit(k)
-    edge = best.agg(F.min("score").alias("edge"), F.count(F.lit(1)).alias("n")).first()
-    if edge["n"] < k:
-        return best
-    above = best.where(F.col("score") > edge["edge"])
-    level = scored.where(F.col("score") >= edge["edge"]).orderBy("doc_id").limit(k)
-    return above.union(level).distinct().orderBy(F.desc("score"), F.desc("doc_id")).limit(k)
+    """The ``k`` best by score and then greater id, where the last places among equals go to those with the least ids.
+
+    One job: each task hands on at most three times ``k`` rows, and the last one ranks them.
+    """
+
+    def keep(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, scores = np.zeros(0, np.int64), np.zeros(0)
+            for batch in batches:
+                ids, scores = np.concatenate([ids, batch.column(0)]), np.concatenate([scores, batch.column(1)])
+                rows = _best(ids, scores, k, False)
+                ids, scores = ids[rows], scores[rows]
+            rows = _best(ids, scores, k, last)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows].astype(np.int64)), pa.array(scores[rows])], ["doc_id", "score"])
+
+        return run
+
+    kind = "doc_id long, score double"
+    slim = scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("score").cast("double").alias("score"))
+    return slim.mapInArrow(keep(False), kind).repartition(1).mapInArrow(keep(True), kind)
 
 
 def rank_terms(index: SearchIndex, terms: list[str], k: int = 10, candidates: DataFrame | None = None, params: Bm25 = Bm25()) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which the shorter side of a galloping intersection is broadcast; its size is counted, not assumed.
 BROADCAST_ROWS = 1_000_000
+#: Neighbouring ids in one block of a skip list.
+SKIP = 1024
 
 
 def posting_docs(postings: DataFrame) -> DataFrame:
@@ -27,8 +29,23 @@ def intersect_gallop(a: DataFrame, b: DataFrame, limit: int = BROADCAST_ROWS) ->
     return long.join(F.broadcast(short), "doc_id", "left_semi").distinct()
 
 
-def intersect_skip(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Hashed: one side is built, the other skips what it does not hold."""
+def skip_list(ids: DataFrame, width: int = SKIP) -> DataFrame:
+    """``block, first, last, n`` for the blocks of ``width`` neighbouring ids that a list has ids in."""
+    return ids.groupBy(F.floor(F.col("doc_id") / width).alias("block")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def intersect_skip(a: DataFrame, b: DataFrame, width: int = SKIP) -> DataFrame:
+    """Blocks that only one side has ids in are skipped.
+
+    The skip lists are joined first. Their common range becomes a condition on both sides, which reaches the scan of a
+    stored index: its files are sorted by term and id, so row groups outside the range are not read. The rows of common blocks
+    are then hashed.
+    """
+    x, y = skip_list(a, width).alias("x"), skip_list(b, width).alias("y")
+    shared = x.join(y, "block").where(F.greatest("x.first", "y.first") <= F.least("x.last", "y.last"))
+    ends = shared.agg(F.min(F.greatest("x.first", "y.first")).alias("low"), F.max(F.least("x.last", "y.last")).alias("high")).first()
+    low, high = (ends["low"], ends["high"]) if ends["low"] is not None else (1, 0)
+    a, b = (d.select("doc_id").where(F.col("doc_id").between(low, high)) for d in (a, b))
     return a.join(b.hint("shuffle_hash"), "doc_id", "left_semi").distinct()
 
 

@@ -7,6 +7,7 @@ list u32 bytes and the packed positions. Version 1 postings: u32 postings, and p
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -93,17 +94,41 @@ def decode(data: bytes) -> tuple[list[tuple[str, int]], Iterator[tuple[str, list
     return docs, iter(found.items()), avgdl
 
 
-def export(index: SearchIndex, path: str) -> None:
-    """Writes an index to one local file. One file is the format: this is for indexes that fit the driver."""
+def to_bytes(index: SearchIndex, version: int = NEWEST) -> bytes:
+    """An index as one value. One file is the format: this is for indexes that fit the driver."""
     docs = [(r["path"], r["length"]) for r in index.docs.orderBy("doc_id").toLocalIterator()]
     dense = index.docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     if docs and (dense["a"], dense["b"]) != (0, len(docs) - 1):
         raise ValueError("the format numbers documents from 0 without gaps")
     terms = index.postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "positions"))).alias("rows")).orderBy("term")
     postings = ((r["term"], [(x["doc_id"], x["positions"]) for x in r["rows"]]) for r in terms.toLocalIterator())
-    data = encode(docs, postings, index.stats()[1])
-    with open(path, "wb") as file:
+    return encode(docs, postings, index.stats()[1], version)
+
+
+def export(index: SearchIndex, path: str) -> None:
+    """Writes an index to one local file, which appears whole or not at all."""
+    data = to_bytes(index)
+    with open(f"{path}.part", "wb") as file:
         file.write(data)
+    os.replace(f"{path}.part", path)
+
+
+_POSTINGS = "term string, doc_id long, tf int, positions array<int>"
+
+
+def _rows(content: bytes) -> Iterator:
+    import pandas as pd
+
+    for term, found in decode(content)[1]:
+        yield pd.DataFrame({"term": term, "doc_id": [d for d, _ in found], "tf": [len(p) for _, p in found], "positions": [p for _, p in found]})
+
+
+def _index(spark: SparkSession, data: bytes, postings: DataFrame, options: TextOptions) -> SearchIndex:
+    docs, _, avgdl = decode(data)
+    table = spark.createDataFrame([(i, p, n) for i, (p, n) in enumerate(docs)], "doc_id long, path string, length int")
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    corpus = spark.createDataFrame([(len(docs), sum(n for _, n in docs), avgdl)], "n_docs long, total_len long, avgdl double")
+    return SearchIndex(table, postings, terms, corpus, options)
 
 
 def load(spark: SparkSession, path: str, options: TextOptions = TextOptions()) -> SearchIndex:
@@ -112,18 +137,16 @@ def load(spark: SparkSession, path: str, options: TextOptions = TextOptions()) -
     row = files.first()
     if row is None:
         raise FormatError(f"empty file: {path}")
-    docs, _, avgdl = decode(bytes(row["content"]))
 
     def read(it):
-        import pandas as pd
-
         for rows in it:
             for content in rows["content"]:
-                for term, found in decode(bytes(content))[1]:
-                    yield pd.DataFrame({"term": term, "doc_id": [d for d, _ in found], "tf": [len(p) for _, p in found], "positions": [p for _, p in found]})
+                yield from _rows(bytes(content))
 
-    postings = files.mapInPandas(read, "term string, doc_id long, tf int, positions array<int>")
-    table = spark.createDataFrame([(i, p, n) for i, (p, n) in enumerate(docs)], "doc_id long, path string, length int")
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    corpus = spark.createDataFrame([(len(docs), sum(n for _, n in docs), avgdl)], "n_docs long, total_len long, avgdl double")
-    return SearchIndex(table, postings, terms, corpus, options)
+    return _index(spark, bytes(row["content"]), files.mapInPandas(read, _POSTINGS), options)
+
+
+def from_bytes(spark: SparkSession, data: bytes, options: TextOptions = TextOptions()) -> SearchIndex:
+    """An index from the bytes of such a file in the driver's memory."""
+    rows = [(term, d, len(p), p) for term, found in decode(data)[1] for d, p in found]
+    return _index(spark, data, spark.createDataFrame(rows, _POSTINGS), options)
