@@ -66,3 +66,7 @@ class Folder:
         if self._files.exists(target) or not self._files.rename(beside, target):
             self._files.delete(beside, False)
             raise FileExistsError(f"{self.path}/{name}")
+
+    def remove(self, path: str = "") -> None:
+        """Removes the folder, or another one of the same store."""
+        self._files.delete(self._path(path or self.path), True)
