@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import time
-import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.sources.scratch import fresh_path
+
 #: What separates words, in every contract of this subpackage.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,54 +24,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the Arrow batches that Python workers hold; a smaller bound set by the user stays."""
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS):
+    """Bounds the rows of the Arrow batches that Python workers hold while the block runs; a smaller bound set by the user stays.
+
+    Work that is to have the bound has to run inside the block: cut() it there.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
+    held = spark.conf.get(key)
+    if not 0 < int(held) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again: lineage ends there and a lost executor costs nothing."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()  # references that Python holds to what was written keep its shuffle files
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+def drop(*tables: DataFrame) -> None:
+    """Removes the files of tables made by cut() that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        conf = df.sparkSession._jsc.hadoopConfiguration()
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(conf).delete(path, True)
 
 
-_released = [0.0]
+def fresh_names(docs: DataFrame, *wanted: str) -> dict[str, str]:
+    """Names for columns of an operator's own that no column of ``docs`` has."""
+    held = {c.lower() for c in docs.columns}
+    out = {}
+    for name in wanted:
+        own = f"own_{name}"
+        while own in held:
+            own += "_"
+        out[name] = own
+    return out
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends there and a lost executor costs nothing.
+#: Rows of a few numbers each up to which a side of a semi or anti join is broadcast; its size is counted, not assumed.
+FEW_ROWS = 2_000_000
 
-    Shuffle files of what was written are not needed any more; Spark removes them when the driver's garbage is
-    collected, which is asked for here, some seconds apart.
-    """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    if time.monotonic() - _released[0] > 4:
-        gc.collect()
-        spark._jvm.System.gc()
-        _released[0] = time.monotonic()
-    return spark.read.schema(df.schema).parquet(path)
+
+def matched(rows: DataFrame, few: DataFrame, on, how: str, limit: int = FEW_ROWS) -> DataFrame:
+    """``rows`` semi- or anti-joined (or joined) with a table of keys. As long as the keys are few, the rows stay where they lie."""
+    return rows.join(F.broadcast(few) if few.limit(limit + 1).count() <= limit else few, on, how)
 
 
-def drop(df: DataFrame) -> None:
-    """Removes the files of a table made by cut() that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+def by_bytes(sizes: Iterable[int], most: int = 64 << 20) -> Iterator[tuple[int, int]]:
+    """Where a batch is cut so that no part but of one value has more than ``most`` bytes; nothing for no values."""
+    a = b = total = 0
+    for size in sizes:
+        if b > a and total + size > most:
+            yield a, b
+            a, total = b, 0
+        b, total = b + 1, total + size
+    if b > a:
+        yield a, b
 
 
 def sample_of(rows: DataFrame, key: str, size: int, salt: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import batches, cut
+from lexmill.llm.common import arrow_rows, by_bytes, cut
 
 WINDOW = 2048
 #: The id put after every document.
@@ -133,12 +133,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         tokens, part, before = Encoder(path), TaskContext.get().partitionId(), 0
         for batch in it:
             ids = [x + tail for x in tokens(batch.column(1))]
-            n = np.array([len(x) // 2 for x in ids], np.int64)
-            ends = before + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part, np.int64)), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())], ["key", "part", "before", "n", "ids"])
-            before = int(ends[-1]) if len(ends) else before
+            for a, b in by_bytes(map(len, ids)):
+                n = np.array([len(x) // 2 for x in ids[a:b]], np.int64)
+                ends = before + np.cumsum(n)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.full(b - a, part, np.int64)), pa.array(ends - n), pa.array(n), pa.array(ids[a:b], pa.binary())], ["key", "part", "before", "n", "ids"])
+                before = int(ends[-1])
 
-    batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("words"))
     return picked.mapInArrow(run, f"key {picked.schema['key'].dataType.simpleString()}, part long, before long, n long, ids binary")
 
@@ -150,7 +150,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     that a window's edge cuts. Only the last window is not full. The totals brought to the driver are one number
     a partition.
     """
-    tokens = cut(encode(docs, id_col, text_col, path), "pack")
+    with arrow_rows(docs.sparkSession):
+        tokens = cut(encode(docs, id_col, text_col, path), "pack")
     totals = tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()
     bases, at = {}, 0
     for row in sorted(totals, key=lambda r: r["part"]):
@@ -173,7 +174,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                     for col, x in zip(cols, (at - begin, end - at, n, at // window, at % window, end - at < n), strict=False):
                         col.append(x)
                     at = end
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.bool_()), pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "boundary", "ids"])
+            for a, b in by_bytes(map(len, ids)):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[a:b], pa.int64())), *(pa.array(c[a:b], pa.int64()) for c in cols[:5]), pa.array(cols[5][a:b], pa.bool_()), pa.array(ids[a:b], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "boundary", "ids"])
 
     return tokens.mapInArrow(run, f"doc_id {tokens.schema['key'].dataType.simpleString()}, start long, length long, doc_tokens long, sequence_id long, offset long, boundary boolean, ids binary")
 
