@@ -88,22 +88,30 @@ _SPACE = r"[\x20\x09-\x0D]"
 
 
 def _license_sql() -> str:
-    from lexmill.llm.licenses import COPYRIGHT, KNOWN, MARKS, SPELLINGS
-
-    def canonical(x: str) -> str:
-        quoted = lambda t: "'" + t.replace("'", "''") + "'"
-        out = f"regexp_replace(lower(coalesce({x}, '')), {quoted(COPYRIGHT)}, ' ', 'g')"
+    """The scan line by line: what states a copyright is blanked, what only names a licence goes from the top, the rest is spelt alike."""
+    from lexmill.llm.licenses import KNOWN, SPELLINGS
+
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    go_on = "notices?|holders?|owners?|licen[sc]es?|laws?|disclaimer|statements?|interest|and|or|in|is|as|are|of"
+    states = rf"""(regexp_matches(l, '^[^a-z0-9]*(©|\(c\)[ \t]*(copyright|[0-9]{{4}}))')
+        OR (regexp_matches(l, '^[^a-z0-9]*copyright[ \t]*[^ \t\n\f\r]') AND NOT regexp_matches(l, '^[^a-z0-9]*copyright[ \t]+({go_on})\b')))"""
+    names = r"""regexp_matches(m[i], '^\s*$') OR regexp_matches(m[i], '^\s*(the[ \t]+)?[a-z0-9 \t.,''"/+-]{0,60}\blicense([ \t]*\([^()\n]{0,40}\))?(,?[ \t]*v(ersion)?[ \t.]*[0-9.]+)?[ \t.:]*$')"""
+
+    def canonical(source: str, keep: str, text: str) -> str:
+        """A query of ``keep`` and ``form`` over ``source``."""
+        spelt = f"array_to_string(list_transform(string_split(lower(coalesce({text}, '')), chr(10)), lambda l: CASE WHEN {states} THEN ' ' ELSE l END), chr(10))"
         for found, put in SPELLINGS:
-            out = f"regexp_replace({out}, {quoted(found)}, {quoted(put)}, 'g')"
-        return f"trim(regexp_replace({out}, {quoted(MARKS)}, ' ', 'g'))"
+            spelt = f"regexp_replace({spelt}, {quoted(found)}, {quoted(put)}, 'g')"
+        rest = f"array_to_string(m[list_position(list_transform(range(1, len(m) + 1), lambda i: i = len(m) OR NOT ({names})), true):], chr(10))"
+        return f"SELECT {keep}, trim(regexp_replace({rest}, '[^a-z0-9à-öø-ÿ]+', ' ', 'g')) AS form FROM (SELECT *, string_split({spelt}, chr(10)) AS m FROM {source})"
 
-    known = ", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in KNOWN)
+    known = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in KNOWN)
     return f"""
-WITH known AS (SELECT min(license) AS license, form FROM (SELECT license, {canonical("body")} AS form FROM (VALUES {known}) AS t(license, body)) GROUP BY form),
+WITH known AS (SELECT min(license) AS license, form FROM ({canonical(f"(VALUES {known}) AS t(license, body)", "license", "body")}) GROUP BY form),
 units AS (
     SELECT doc_id, true AS whole, text AS unit FROM documents
     UNION ALL SELECT doc_id, false, unnest(string_split(text, chr(10))) FROM documents),
-forms AS (SELECT doc_id, whole, {canonical("unit")} AS form FROM units),
+forms AS ({canonical("units", "doc_id, whole", "unit")}),
 hits AS (SELECT doc_id, whole, license FROM forms JOIN known USING (form)),
 found AS (SELECT doc_id, max(CASE WHEN whole THEN license END) AS text_license, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM hits GROUP BY doc_id)
 SELECT DISTINCT d.doc_id, f.text_license, coalesce(f.notices, '') AS notices FROM documents d LEFT JOIN found f USING (doc_id)"""
