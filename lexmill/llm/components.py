@@ -39,5 +39,6 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     stars = edges.select(F.col("u"), F.col("v"))
-    out = nodes.join(stars, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("label"))
-    return cut(out, "labels")
+    out = cut(nodes.join(stars, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("label")), "labels")
+    drop(edges)
+    return out

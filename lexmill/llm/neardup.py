@@ -17,8 +17,9 @@ comparison, an exact bound from sketches of the bags, all in the join's conditio
 probability 3e-6, and the bound on bits, four and a half standard deviations below the mean, with probability 3e-6.
 
 Null text is an empty text; documents without words have no shingles and are classes of their own. A document of one
-to four words has one shingle of them all. Rows that repeat an id are one document if their texts are equal, else the
-id is a member of several classes. Null ids take no part. An empty table gives no rows; other columns are ignored.
+to four words has one shingle of them all. Every row is a document of its own, whatever its id: rows that repeat an id may
+belong to different classes, and null ids take part. Ids are of any type that has an order; a class is named by its least id, null if all
+are null. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import batches, cut, mix, shingles
+from lexmill.llm.common import arrow_rows, cut, drop, fresh_names, matched, mix, shingles
 from lexmill.llm.components import components
 
 WORDS = 5
@@ -128,11 +129,13 @@ def _to_signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-_SIGNED = "doc_id long, size long, bag1 long, bag2 long, bands array<long>, sketch array<long>, s0 long, s1 long, s2 long, s3 long"
+#: Parts that the rows of a large group of copies, or of a large class, are spread over.
+TURNS = 16
+_SIGNED = "size long, bag1 long, bag2 long, bands array<long>, sketch array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: the size of its bag, 128 bits that stand for the bag, its bands, and 252 bits of its signature."""
+    """Per document its id, the digest of its text, the size of its bag, 128 bits that stand for the bag, its bands, and 252 bits of its signature."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -157,11 +160,17 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             bands = pa.ListArray.from_arrays(offsets, _to_signed(value.reshape(-1)))
             offsets = pa.array(np.arange(0, LONGS * n + 1, LONGS, dtype=np.int32))
             sketch = pa.ListArray.from_arrays(offsets, _to_signed(sketch.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), *map(_to_signed, bags), bands, sketch, *(_to_signed(np.ascontiguousarray(words[:, i])) for i in range(4))], [x.split()[0] for x in _SIGNED.split(", ")])
+            numbers = (pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(4))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size.astype(np.int64)), *map(_to_signed, bags), bands, sketch, *numbers], ["doc_id", "digest", *(x.split()[0] for x in _SIGNED.split(", "))])
 
-    batches(docs.sparkSession)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).where("doc_id is not null")
-    return picked.mapInArrow(run, _SIGNED)
+    picked = _texts(docs, text_col, F.col(id_col).alias("doc_id")).select("doc_id", "words", "digest")
+    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, digest binary, {_SIGNED}")
+
+
+def _texts(docs: DataFrame, text_col: str, *columns) -> DataFrame:
+    """The lower-cased texts with a digest by which a text is found again."""
+    words = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(*columns, words.alias("words")).withColumn("digest", F.unhex(F.md5("words")))
 
 
 def overlaps(pairs: DataFrame) -> DataFrame:
@@ -189,28 +198,41 @@ def overlaps(pairs: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The links among candidate pairs ``a, b``. Only texts of candidates are moved."""
-    named = lambda x: texts.select(F.col("doc_id").alias(f"id_{x}"), F.col("words").alias(f"words_{x}"))
+    named = lambda x: texts.select(F.col("rep").alias(f"id_{x}"), F.col("words").alias(f"words_{x}"))
     joined = pairs.join(named("a"), F.col("a") == F.col("id_a")).join(named("b"), F.col("b") == F.col("id_b"))
     return overlaps(joined.select("a", "b", "words_a", "words_b")).where(F.col("similarity") >= similar).select("a", "b")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``doc_id, class_id, class_size`` for every document; the class id is the least id of the class."""
-    signed = cut(sign(docs, id_col, text_col), "signed")
+    """``doc_id, class_id, class_size`` for every row of ``docs``; the class id is the least id of the class."""
+    return _classes(docs, id_col, text_col, similar).select("doc_id", "class_id", "class_size")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
+    """``doc_id, digest, first, class_id, class_size``: ``first`` tells the one row of its class that has the least id."""
+    with arrow_rows(docs.sparkSession):
+        return _classified(docs, id_col, text_col, similar)
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
+    signed = cut(sign(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signed")
     key = ["bag1", "bag2", "size"]
-    bags = signed.where("size > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    # every document with the least id that has its bag
-    members = cut(signed.select("doc_id", *key).join(bags.select(*(F.col(c).alias(f"r_{c}") for c in key), "rep"), [F.col(c) == F.col(f"r_{c}") for c in key], "left").select("doc_id", "size", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "members")
-    reps = signed.join(members.where("doc_id = rep and size > 0").select(F.col("rep"), F.col("size").alias("rep_size")), (F.col("doc_id") == F.col("rep")) & (F.col("size") == F.col("rep_size")), "left_semi")
+    spread = F.pmod("row", F.lit(TURNS)).cast("int")
+    # equal bags are one class from the start, stood for by one row; a bag that many rows have is spread over several tasks
+    bags = signed.where("size > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    bags = bags.select(*(F.col(c).alias(f"r_{c}") for c in key), "rep", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("t"))
+    members = signed.select("row", "doc_id", "digest", *key).join(bags, [*(F.col(c) == F.col(f"r_{c}") for c in key), spread == F.col("t")], "left")
+    members = cut(members.select("row", "doc_id", "digest", "size", F.coalesce("rep", "row").alias("rep")), "members")
+    reps = matched(signed.where("size > 0"), members.where("row <> rep").select(F.col("row").alias("copy")), F.col("row") == F.col("copy"), "left_anti")
     # bands alone are dealt first; what the join conditions need follows for the rows of shared buckets
-    rows = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
+    rows = reps.select(F.col("row").alias("rep"), F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("full"))
     slim = rows.join(shared, F.col("band") == F.col("full"), "left_semi")
-    buckets = cut(slim.join(reps.select(F.col("doc_id").alias("own"), "size", "s0", "s1", "s2", "s3"), F.col("rep") == F.col("own")).drop("own"), "buckets")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    # a repeated id has one text here, that of its class's bag or any: equal ids with other texts keep their own class
-    texts = texts.join(buckets.select(F.col("rep").alias("wanted")).distinct().hint("merge"), F.col("doc_id") == F.col("wanted"), "left_semi")
-    texts = cut(texts.groupBy("doc_id").agg(F.min("words").alias("words")), "texts")
+    buckets = cut(slim.join(reps.select(F.col("row").alias("own"), "digest", "size", "s0", "s1", "s2", "s3"), F.col("rep") == F.col("own")).drop("own"), "buckets")
+    wanted = cut(buckets.select("rep", F.col("digest").alias("wanted")).distinct(), "wanted")
+    buckets = buckets.drop("digest")
+    texts = matched(_texts(docs, text_col), wanted, F.col("digest") == F.col("wanted"), "inner")
+    texts = cut(texts.groupBy("rep").agg(F.first("words").alias("words")), "texts")
     near = lambda a, b: (F.least(a, b) >= F.greatest(a, b) * similar)
     agree = lambda x, y: sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(4)), F.lit(0)) <= SIZE - BITS
     links, labels, tried = [], None, []
@@ -230,7 +252,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     held = _labelled(buckets, labels)
     open_ = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("band").alias("full"))
     held = held.join(open_, F.col("band") == F.col("full"), "left_semi")
-    held = cut(held.join(reps.select(F.col("doc_id").alias("own"), "sketch", "bands"), F.col("rep") == F.col("own")).drop("own"), "open")
+    held = cut(held.join(reps.select(F.col("row").alias("own"), "sketch", "bands"), F.col("rep") == F.col("own")).drop("own"), "open")
     # shingles not shared are at most this share of all where the similarity is reached; the sketches bound them from below
     apart = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(LONGS)), F.lit(0))
     # the tolerance keeps pairs at exactly the threshold, where both sides are equal but for rounding
@@ -243,9 +265,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(_all(tried), ["a", "b"], "left_anti")
     links.append(cut(verify(cut(pairs, "pairs"), texts, similar), "links"))
     labels = components(_all(links))
-    out = members.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
-    sizes = out.groupBy(F.col("class_id").alias("c")).agg(F.count(F.lit(1)).alias("class_size"))
-    return out.join(sizes, F.col("class_id") == F.col("c")).select("doc_id", "class_id", "class_size")
+    # classes of one bag alone have no label; the rows of a class are spread by their turn
+    out = cut(members.join(labels, F.col("rep") == F.col("node"), "left").select("row", "doc_id", "digest", F.coalesce("label", "rep").alias("label")), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "row")
+    sizes = out.groupBy("label").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
+    sizes = sizes.select(F.col("label").alias("c"), "least", "class_size", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("t"))
+    out = out.join(sizes, (F.col("label") == F.col("c")) & (spread == F.col("t")), "left")
+    alone = F.col("least").isNull()
+    out = out.select("doc_id", "digest", (alone | (F.col("row") == F.col("least.row"))).alias("first"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    out = cut(out, "classes")
+    drop(signed, members, buckets, wanted, texts, *tried, *links)
+    return out
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -260,6 +290,20 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` with one document of each class, the one with the least id; null ids all stay."""
-    gone = classes(docs, id_col, text_col, similar).groupBy("doc_id").agg(F.min("class_id").alias("c")).where("doc_id <> c").select(F.col("doc_id").alias("neardup_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("neardup_gone"), "left_anti")
+    """The rows of ``docs`` with one row of each class, the one with the least id.
+
+    Rows are told by id and text; of rows that agree in both, one stays if that is the row to keep.
+    """
+    name = fresh_names(docs, "id", "digest", "gone")
+    found = _classes(docs, id_col, text_col, similar)
+    said = found.groupBy("doc_id", "digest").agg(F.max("first").alias("stays"), F.count(F.lit(1)).alias("n"))
+    digest = F.unhex(F.md5(F.lower(F.coalesce(F.col(text_col), F.lit("")))))
+    rows = docs.withColumn(name["digest"], digest)
+    named = said.select(F.col("doc_id").alias(name["id"]), F.col("digest").alias(name["gone"]), "stays", "n")
+    same = docs[id_col].eqNullSafe(F.col(name["id"])) & (F.col(name["digest"]) == F.col(name["gone"]))
+    # rows that agree in id and text with another, of which one stays, are taken apart from the others
+    again = named.where("stays and n > 1").drop("stays", "n")
+    out = matched(rows, named.where("not stays or n > 1").drop("stays", "n"), same, "left_anti")
+    if not again.isEmpty():
+        out = out.unionByName(matched(rows, again, same, "left_semi").dropDuplicates([id_col, name["digest"]]))
+    return out.select(*docs.columns)
