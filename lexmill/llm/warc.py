@@ -9,7 +9,7 @@ Reading. Whole files go to a parser that walks from record to record by ``Conten
 groups the records of a capture, by concurrent-to identifiers, into one nested row; a revisit finds its payload's
 size and digest through the record that it refers to.
 
-Null html is an empty payload, null url an empty target; control characters in a url are percent-encoded in headers,
+Ids are of any type that has an order and a text. Null html is an empty payload, null url an empty target; control characters in a url are percent-encoded in headers,
 and the metadata block has it as it was. Rows that repeat an id and all else are written as often as they occur and come
 back as often. Of several rows with the same largest id and equal payloads the one with the least url is the response.
 An empty table gives an archive without records. Columns other than the three named are ignored.
@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import fresh_path
+from lexmill.llm.common import arrow_rows, cut, matched
+from lexmill.sources.scratch import Folder, fresh_path
 
 LEAST = 1000
-#: Captures in one file at most; a file is read as one value.
-CAPTURES_A_FILE = 2000
+#: Captures in one file at most, and bytes of payload at their mean size; a file is read as one value.
+CAPTURES_A_FILE, BYTES_A_FILE = 2000, 64 << 20
+#: Tasks that the revisits of one response are spread over.
+TURNS = 16
 END = "\r\n\r\n"
 
 
@@ -64,8 +67,9 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload"), "same": F.sha2(F.col("payload"), 256)})
     groups = rows.where(F.col("size") >= least).groupBy("same").agg(F.max(F.struct("page_id", F.expr("-octet_length(url)").alias("short"), "url")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    groups = groups.where("copies > 1").select(F.col("same").alias("same_as"), "first")
-    rows = rows.join(groups, [F.col("same") == F.col("same_as"), F.col("size") >= least], "left")
+    groups = cut(groups.where("copies > 1").select(F.col("same").alias("same_as"), "first"), "payloads")
+    # as long as the payloads that occur again are few, their rows stay where they are, however many have one of them
+    rows = matched(rows, groups, [F.col("same") == F.col("same_as"), F.col("size") >= least], "left")
     again = F.col("first").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("url") == F.col("first.url")))
     return rows.withColumns({
         "kind": F.when(again, "revisit").otherwise("response"),
@@ -93,8 +97,10 @@ def records(found: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, **columns) -> None:
-    """Archives under ``path``, compressed with gzip; a file holds a bounded number of records."""
-    records(captures(pages, **columns)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * CAPTURES_A_FILE).text(path)
+    """Archives under ``path``, compressed with gzip; a file holds a bounded number of records, less where payloads are large."""
+    mean = pages.agg(F.avg(F.octet_length(columns.get("html_col", "html")))).first()[0] or 0
+    held = int(max(1, min(CAPTURES_A_FILE, BYTES_A_FILE // max(mean, 1))))
+    records(captures(pages, **columns)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * held).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -129,7 +135,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
         for files in it:
             for i in range(files.num_rows):
-                data, rows = files.column(0)[i].as_py(), []
+                data, rows, size = files.column(0)[i].as_py(), [], 0
                 for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     head, payload = b"", block
                     if h.get("content-type", "").startswith("application/http"):
@@ -141,18 +147,16 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     if whole and digest and base64.b32decode(digest.removeprefix("sha1:")).hex() != sha1:
                         raise ValueError(f"the payload of {h['warc-record-id']} does not have its digest")
                     rows.append((h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), digest, h.get("content-type"), int(status) if status else None, len(payload), sha1, payload if payloads or h["warc-type"] == "metadata" else None))
-                    if len(rows) == 256:
+                    size += len(payload)
+                    if len(rows) == 256 or size > BYTES_A_FILE:
                         yield batch(rows)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield batch(rows)
 
-    # a file is a value here: few of them in a batch
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    if int(held) > 8:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    return files.mapInArrow(run, _SCHEMA)
+    with arrow_rows(spark, 8):  # a file is a value here: few of them in a batch
+        return cut(files.mapInArrow(run, _SCHEMA), "records")
 
 
 def assemble(found: DataFrame) -> DataFrame:
@@ -169,25 +173,35 @@ def assemble(found: DataFrame) -> DataFrame:
         pick("request").alias("request"),
         pick("metadata").alias("metadata"),
     )
-    originals = rows.where("response.type = 'response'").select(F.col("capture_id").alias("original_id"), F.struct(F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha1").alias("payload_sha1"), F.col("metadata.payload").alias("notes")).alias("original"))
-    return rows.join(originals, F.coalesce(F.col("response.refers_to"), F.col("capture_id")) == F.col("original_id"), "left").drop("original_id")
+    about = F.struct(F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha1").alias("payload_sha1"), F.col("metadata.payload").alias("notes"))
+    revisit = F.col("response.type") == "revisit"
+    # only responses that are revisited are looked up; the revisits of one are spread over several tasks
+    asked = rows.where(revisit).select(F.col("response.refers_to").alias("asked")).distinct()
+    originals = rows.where(~revisit).select(F.col("capture_id").alias("original_id"), about.alias("found")).join(asked, F.col("original_id") == F.col("asked"), "left_semi")
+    originals = originals.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))))
+    met = rows.join(originals, (F.col("response.refers_to") == F.col("original_id")) & (F.pmod(F.xxhash64("capture_id"), F.lit(TURNS)) == F.col("turn")), "left")
+    return met.withColumn("original", F.coalesce("found", F.when(~revisit, about))).drop("original_id", "found", "turn")
 
 
-def transactions(spark: SparkSession, path: str) -> DataFrame:
+def transactions(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to, url``, one row per capture in the archives."""
     rows = assemble(read(spark, path, payloads=False)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     note = lambda c, k: F.get_json_object(c.cast("string"), f"$.{k}")
     return rows.select(
-        note(F.col("metadata.payload"), "page_id").cast("long").alias("page_id"),
+        note(F.col("metadata.payload"), "page_id").cast(id_type).alias("page_id"),
         F.col("original.payload_bytes").alias("payload_bytes"),
         F.col("original.payload_sha1").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        F.when(F.col("response.type") == "revisit", note(F.col("original.notes"), "page_id").cast("long")).alias("refers_to"),
+        F.when(F.col("response.type") == "revisit", note(F.col("original.notes"), "page_id").cast(id_type)).alias("refers_to"),
         note(F.col("metadata.payload"), "url").alias("url"),
     )
 
 
-def round_trip(pages: DataFrame, **columns) -> DataFrame:
-    path = fresh_path(pages.sparkSession, "warc")
-    write(pages, path, **columns)
-    return transactions(pages.sparkSession, path)
+def round_trip(pages: DataFrame, id_col: str = "page_id", **columns) -> DataFrame:
+    """transactions() of the archives that write() makes of ``pages``; the archives are removed again."""
+    spark = pages.sparkSession
+    path = fresh_path(spark, "warc")
+    write(pages, path, id_col=id_col, **columns)
+    out = cut(transactions(spark, path, pages.schema[id_col].dataType.simpleString()), "transactions")
+    Folder(spark, path).remove()
+    return out
