@@ -1,19 +1,19 @@
 """Nearest neighbours by learned partitions.
 
 A bounded sample of the vectors gives a graph of nearest neighbours; the graph is cut into parts of nearly equal size
-with few edges between them; a small softmax classifier learns to tell the part of a vector. Every row is then indexed
+with few edges between them; a small softmax classifier learns to tell the parts of a vector's neighbours. Every row is then indexed
 under its most probable part. A query visits its most probable parts, as many as a second sample needed for the
 recall that is asked, and is ranked against the vectors there by exact distances.
 
 The fit uses at most ``SAMPLE`` vectors and the calibration ``CHECKS`` queries, both taken in hash order: these are its
-parameters. Indexing and search see every row. A part is divided into chunks of at most ``CHUNK`` rows by a hash of the id
+parameters. Parts are about as many as the root of the rows, as long as each has ``LEAST`` vectors of the sample. Indexing and search see every row. A part is divided into chunks of at most ``CHUNK`` rows by a hash of the id
 and the queries into blocks, so neither a part that holds most rows nor many queries land in one task. No pairs leave
 a task but the nearest of each query and chunk.
 
 Vectors that are null, zero, of another length than most of the sample, or that hold null or non-finite components take
 no part, as queries or as candidates. Ties go to the smaller id. Rows that repeat an id are candidates of their own; a
-query's own id is never its candidate. With fewer candidates than asked, all are returned if their parts are visited; a table
-smaller than ``EXACT`` rows visits all parts. Columns other than the two named are ignored.
+query's own id is never its candidate. With fewer candidates than asked, all are returned: so few vectors make one part. Columns
+other than the two named are ignored. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -26,16 +26,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import batches, sample_of
+from lexmill.llm.common import sample_of
 
 SAMPLE = 6000
 CHECKS = 300
-PARTS = 16
+#: Vectors of the sample that a part has at least; parts are as many as that allows, up to about the root of all rows.
+LEAST = 32
 GRAPH = 10
-RECALL = 0.97
+RECALL = 0.95
 CHUNK = 4096
 BLOCK = 16384
-EXACT = 2000
 
 
 def valid(vector: Column) -> Column:
@@ -115,13 +115,19 @@ class Index:
         return np.tanh((x - self.center) / self.scale @ self.first + self.first_bias) @ self.second + self.second_bias
 
 
-def fit(sample: np.ndarray, parts: int = PARTS, recall: float = RECALL, hidden: int = 64, epochs: int = 30, seed: int = 5) -> Index:
+def fit(sample: np.ndarray, parts: int, recall: float = RECALL, hidden: int = 64, epochs: int = 30, seed: int = 5) -> Index:
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
     center, scale = sample.mean(0), float(sample.std()) or 1.0
     graph = neighbour_graph(sample)
     part = balanced_parts(sample, graph, parts)
     x = (sample - center) / scale
+    # what the classifier learns of a vector: the parts that its neighbours are in, and its own
+    parts = int(part.max()) + 1
+    share = np.zeros((len(x), parts))
+    for near in (np.arange(len(x))[:, None], graph):
+        np.add.at(share, (np.arange(len(x))[:, None], part[near]), 1.0)
+    share /= share.sum(1, keepdims=True)
     weights = [rng.normal(0, 1 / np.sqrt(dim), (dim, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), (hidden, parts)), np.zeros(parts)]
     moments, step = [[np.zeros_like(w), np.zeros_like(w)] for w in weights], 0
     for _ in range(epochs):
@@ -132,7 +138,7 @@ def fit(sample: np.ndarray, parts: int = PARTS, recall: float = RECALL, hidden:
             z = h @ weights[2] + weights[3]
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), part[rows]] -= 1
+            p -= share[rows]
             p /= len(rows)
             back = (p @ weights[2].T) * (1 - h * h)
             step += 1
@@ -164,11 +170,8 @@ def train(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     x = np.stack(got["vector"][lengths == lengths.mode()[0]].to_numpy()).astype(np.float64)
     if len(x) < 2:
         return None
-    parts = min(PARTS, 1 << max(0, (len(x) // 64).bit_length() - 1))
-    index = fit(x, parts=parts, **how)
-    if len(got) < min(sample, EXACT):
-        index.probes = index.parts
-    return index
+    parts = min(int(rows.count() ** 0.5), len(x) // LEAST)
+    return fit(x, parts=1 << max(0, parts.bit_length() - 1) if len(x) >= 4 * LEAST else 1, **how)
 
 
 def nearest(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,7 +203,6 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index | None, k: int =
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(index)
-    batches(spark, 4096)
     dim = len(index.center)
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & valid(F.col("vector")) & (F.size("vector") == dim))
 
