@@ -585,15 +585,19 @@ def test_lm_base_and_model(spark, documents, top):
     want = brute_base([(d, t) for d, t, _ in documents])
     out = lm.score_corpus(common.table(spark, SF, "documents"), top=top).collect()
     assert len(out) == len(want)
-    gain = []
     for r in out:
         tokens, known, n, base = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) and r["score"] < 0
-        if r["held_out"]:
-            gain.append((r["score"] - r["base_score"]) / tokens)
-    assert np.mean(gain) > 0
+
+
+def test_lm_is_better_than_the_base_on_held_out_rows(spark):
+    """By a third of a digit a token on 10,000 documents. On some hundred documents the base, which takes any unknown word for half a
+    count, is ahead of a model that has to spell it."""
+    out = lm.score_corpus(common.table(spark, "/root/testdata/sf0.1", "documents")).where("held_out")
+    r = out.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert r["s"] / r["n"] > -3.85 and (r["s"] - r["b"]) / r["n"] > 0.33
 
 
 def small_model(seed=6):
@@ -711,19 +715,94 @@ def test_word_hashes_tell_words_apart():
     assert sliced.tolist() == words[rows >= 3].tolist() and at.tolist() == (rows[rows >= 3] - 3).tolist()
 
 
-def test_pipeline(spark):
+def plain_mix(rows):
+    """How often each row is taken, by repeated clamping and one pass over each source."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by_source = collections.defaultdict(list)
+    for r in rows:
+        h = hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()
+        by_source[r["source"]].append((h, size(r["text"]), r["doc_id"]))
+    names = sorted((s for s in by_source if s is not None), key=lambda s: s.encode()) + ([None] if None in by_source else [])
+    sizes = {s: sum(n for _, n, _ in by_source[s]) for s in names}
+    weight, left, full = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, set(names), {}
+    share = 0.0
+    while left:
+        share = (1.5 * sum(sizes.values()) - sum(full.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if share * weight[s] > 2 * sizes[s]}
+        if not over:
+            break
+        full |= {s: 2.0 * sizes[s] for s in over}
+        left -= over
+    out = collections.Counter()
+    for s in names:
+        target, before = full.get(s, share * weight[s]), 0
+        whole = math.floor(target / sizes[s]) if sizes[s] else 0
+        for _, n, d in sorted(by_source[s]):
+            out[d] += whole + (before + n / 2 <= target - whole * sizes[s])
+            before += n
+    return +out
+
+
+def test_pipeline_equals_plain_stages(spark):
+    """Each stage on what the one before kept, against a plain version in Python."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs = common.table(spark, SF, "documents")
-    columns, ids, seen = docs.columns, None, []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs
-        docs = common.cut(stage(spark, docs, SF), "stage")
-        assert docs.columns == columns, name
-        now = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        assert ids is None or now <= ids
-        ids = now
-        seen.append((name, before.count(), docs.count()))
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == ids
-    assert 0.5 * seen[0][1] < len(ids) < seen[0][1]
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "exact_dedup", "minhash", "mixing", "packing"]
+    rows = docs.collect()
+
+    def step(name, before, want):
+        out = common.cut(stages[name](spark, before, SF), "stage")
+        assert out.columns == columns and collections.Counter(r["doc_id"] for r in out.collect()) == want, name
+        return out
+
+    model = toxicity.train(docs, labels, ~toxicity.held_out())
+    kept = [r for r in rows if plain_probability(model, r["text"]) < toxicity.THRESHOLD]
+    docs = step("toxicity", docs, collections.Counter(r["doc_id"] for r in kept))
+    groups = collections.defaultdict(list)
+    for r in kept:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")].append(r)
+    kept = [min(g, key=lambda r: (-len(r["text"] or ""), r["doc_id"])) for g in groups.values()]
+    docs = step("exact_dedup", docs, collections.Counter(r["doc_id"] for r in kept))
+    classes = brute_classes([(r["doc_id"], r["text"]) for r in kept])
+    kept = [r for r in kept if classes[r["doc_id"]] == r["doc_id"]]
+    docs = step("minhash", docs, collections.Counter(r["doc_id"] for r in kept))
+    taken = plain_mix(kept)
+    docs = step("mixing", docs, taken)
+    model, texts = Tokenizer.from_file(packing.tokenizer_path()), {r["doc_id"]: r["text"] or "" for r in kept}
+    pieces = collections.defaultdict(list)
+    for r in stages["packing"](spark, docs, SF).collect():
+        pieces[r["doc_id"]].append(r)
+    assert set(pieces) == set(taken)
+    for d, found in pieces.items():
+        ids = [*model.encode(texts[d], add_special_tokens=False).ids, 1]
+        assert sum(r["length"] for r in found) == taken[d] * len(ids) and {r["doc_tokens"] for r in found} == {len(ids)}
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in found)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    odd = odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/odd").count() > 0
+
+
+def test_operators_leave_settings_and_folders_as_they_were(spark):
+    from lexmill.sources.scratch import Folder, shared_dir
+
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    packing.pack(common.table(spark, SF, "documents")).count()
+    before = set(Folder(spark, shared_dir(spark)).names())
+    warc.round_trip(common.table(spark, SF, "pages")).count()
+    mixing.plan(common.table(spark, SF, "documents")).count()
+    left = {n.rsplit("-", 1)[0] for n in set(Folder(spark, shared_dir(spark)).names()) - before}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == held
+    # what a result or an input still reads, and nothing else
+    assert left <= {"transactions", "sized", "aims", "edge", "edges", "records", "payloads"}
