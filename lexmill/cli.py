@@ -107,7 +107,7 @@ def run_bench(spark: SparkSession, docs: int, seed: int, out: str) -> int:
         frame.cache().count()
     built = time.time() - began
     took = []
-    for query in ("cat dog", "milk AND love", "search OR engine", "index query"):
+    for query in ("river stone", "lamp AND window", "paper OR garden", "copper signal"):
         for _ in range(3):
             at = time.time()
             search.rank_terms(index, query.replace(" AND", "").replace(" OR", "").split()).collect()

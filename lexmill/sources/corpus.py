@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = (".txt", ".md")
-# The words of the synthetic corpus.
-VOCABULARY = "cat dog milk love search engine index query term phrase ranking document token fox brown quick lazy jump machine learning latency compression posting skip list bm25".split()
+#: The words of the synthetic corpus.
+VOCABULARY = "river stone lamp window paper garden copper signal harbor meadow winter engine ladder cotton mirror thread orchard compass kettle bridge sparrow marble lantern velvet anchor pepper".split()
 
 
 def list_files(folder: str) -> list[str]:
