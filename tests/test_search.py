@@ -187,6 +187,35 @@ def test_files_and_stores(spark, tmp_path):
             binary_index.decode(data)
 
 
+def test_cli_prints(spark, tmp_path, capsys):
+    folder, out = tmp_path / "docs", str(tmp_path / "index")
+    corpus.write_synthetic(spark, str(folder), 5)
+    for i, text in enumerate(FILES):
+        (folder / f"doc{i + 1}.txt").write_text(text)
+    assert cli.main(["index", "build", str(folder), "-o", out, "--stem"], spark) == 0
+    assert capsys.readouterr().out == "Indexed 10 documents\n"
+    ask = lambda *args: (cli.main(["query", out, *args], spark), capsys.readouterr())
+    code, said = ask("cats AND NOT dogs", "--mmap", "--stem")
+    assert code == 0 and said.out == f"{folder}/doc1.txt\n"
+    code, said = ask("cats milk", "--mode", "bm25", "--topk", "1")
+    assert code == 0 and said.out.endswith("doc1.txt\n") and said.out.count("\t") == 1 and float(said.out.split("\t")[0]) > 0
+    for mode in ("two", "gallop", "skip"):
+        assert ask("cats milk", "--intersect", mode)[1].out == f"{folder}/doc1.txt\n"
+    assert ask("zzz")[1].out == "No results\n" and "Unterminated" in ask('"a')[1].err
+    (tmp_path / "syn").write_text("zzz,cat\n")
+    assert ask("zzz", "--synonyms", str(tmp_path / "syn"))[1].out == f"{folder}/doc1.txt\n{folder}/doc2.txt\n"
+    assert cli.main(["query", "/none", "a"], spark) == 1 and capsys.readouterr().err.startswith("Failed to load index: /none")
+
+
+def test_cli_bench_reports(spark, tmp_path, capsys):
+    report = tmp_path / "report.md"
+    assert cli.main(["bench", "--docs", "50", "--seed", "3", "--out", str(report)], spark) == 0
+    text = report.read_text()
+    assert capsys.readouterr().out == text and text.count("intersection p50, p95") == len(setops.INTERSECT) and "| documents | 50 |" in text
+    resident = next(x for x in text.splitlines() if x.startswith("| resident bytes"))
+    assert int(resident.split("|")[2]) > 1 << 20
+
+
 def test_stream_adds_documents_once(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "index")
     for at in (0, 2):
