@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,16 @@ def matched(rows: DataFrame, few: DataFrame, on, how: str, limit: int = FEW_ROWS
     return rows.join(F.broadcast(few) if few.limit(limit + 1).count() <= limit else few, on, how)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: idle Python workers would keep it until their next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def by_bytes(sizes: Iterable[int], most: int = 64 << 20) -> Iterator[tuple[int, int]]:
     """Where a batch is cut so that no part but of one value has more than ``most`` bytes; nothing for no values."""
     a = b = total = 0
@@ -138,8 +150,6 @@ def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and return. The hash of a
     word is a difference of prefix sums of byte codes times powers of a base, moved to power zero.
     """
-    import pyarrow as pa
-
     column = column.cast(pa.large_string()).fill_null("")
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import arrow_rows, cut, drop, fresh_names, matched, mix, shingles
+from lexmill.llm.common import arrow_rows, cut, drop, fresh_names, give_back, matched, mix, shingles
 from lexmill.llm.components import components
 
 WORDS = 5
@@ -162,6 +162,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             sketch = pa.ListArray.from_arrays(offsets, _to_signed(sketch.reshape(-1)))
             numbers = (pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(4))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size.astype(np.int64)), *map(_to_signed, bags), bands, sketch, *numbers], ["doc_id", "digest", *(x.split()[0] for x in _SIGNED.split(", "))])
+        give_back()
 
     picked = _texts(docs, text_col, F.col(id_col).alias("doc_id")).select("doc_id", "words", "digest")
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, digest binary, {_SIGNED}")
@@ -192,6 +193,7 @@ def overlaps(pairs: DataFrame) -> DataFrame:
                 less = np.zeros(n)
             whole = np.bincount(rows, minlength=n) - less
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.where(whole > 0, less / np.maximum(whole, 1), 0.0))], ["a", "b", "similarity"])
+        give_back()
 
     return pairs.mapInArrow(run, "a long, b long, similarity double")
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import arrow_rows, by_bytes, cut
+from lexmill.llm.common import arrow_rows, by_bytes, cut, give_back
 
 WINDOW = 2048
 #: The id put after every document.
@@ -138,6 +138,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 ends = before + np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.full(b - a, part, np.int64)), pa.array(ends - n), pa.array(n), pa.array(ids[a:b], pa.binary())], ["key", "part", "before", "n", "ids"])
                 before = int(ends[-1])
+        del tokens
+        give_back()
 
     picked = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("words"))
     return picked.mapInArrow(run, f"key {picked.schema['key'].dataType.simpleString()}, part long, before long, n long, ids binary")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import arrow_rows, doc_crc, sample_of
+from lexmill.llm.common import arrow_rows, doc_crc, give_back, sample_of
 
 BUCKETS = 1 << 18
 DIM = 6
@@ -264,6 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, id_col: str = "doc_i
         model = fit([t for _, t, _ in found], [y for _, _, y in found])
         constant = model.constant if model.constant is not None else -1.0
         yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()]), pa.array([[*model.mix.tolist(), model.shift, constant]])], ["weight", "numbers"])
+        del found, model
+        give_back()
 
     key = F.xxhash64(F.col("key").cast("string")).alias("key")
     with arrow_rows(docs.sparkSession, 500):
@@ -287,6 +289,8 @@ def _scored(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: tup
                 part = batch.slice(at, 256)
                 names = [n for n in part.schema.names if n != "words"]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scorer(part.column(1).to_pylist()), pa.float64())], [*names, "score"])
+        del scorer
+        give_back()
 
     return picked.mapInArrow(run, f"{schema}, score double")
 
