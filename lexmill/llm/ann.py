@@ -217,17 +217,18 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index | None, k: int =
         return run
 
     rows = pick(vectors).mapInPandas(route(None), "vec_id long, vector array<double>, parts int").withColumnRenamed("parts", "part")
-    # parts are few: their sizes fit a small map of chunk counts
-    counts = {r["part"]: -(-r["count"] // CHUNK) for r in rows.groupBy("part").count().collect()}
-    if not counts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    chunks = F.create_map(*(F.lit(x) for kv in sorted(counts.items()) for x in kv))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.element_at(chunks, F.col("part"))).cast("int"))
+    # parts are few: the numbers of their chunks of rows and of their blocks of queries fit small maps
+    number = lambda df, most: {r["part"]: -(-r["count"] // most) for r in df.groupBy("part").count().collect()}
     asked = pick(queries).mapInPandas(route(index.probes), "vec_id long, vector array<double>, parts array<int>").withColumn("part", F.explode("parts")).drop("parts")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    asked = asked.where(F.col("part").isin(*counts)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(chunks, F.col("part")).cast("int") - 1)))
+    counts, blocks = number(rows, CHUNK), number(asked, BLOCK)
+    both = sorted(counts.keys() & blocks.keys())
+    if not both:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    of = lambda numbers: F.element_at(F.create_map(*(F.lit(x) for part in both for x in (part, numbers[part]))), F.col("part"))
+    # a part's rows are copied once for each block of the queries that visit it, its queries once for each chunk
+    every = lambda numbers: F.explode(F.sequence(F.lit(0), of(numbers).cast("int") - 1))
+    rows = rows.where(F.col("part").isin(both)).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), of(counts)).cast("int")).withColumn("block", every(blocks))
+    asked = asked.where(F.col("part").isin(both)).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), of(blocks)).cast("int")).withColumn("chunk", every(counts))
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
