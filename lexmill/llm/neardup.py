@@ -129,6 +129,8 @@ def _to_signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+#: Rows of a batch: hashing takes some thirty bytes for each byte of text, and pairs have two texts.
+BATCH = 500
 #: Parts that the rows of a large group of copies, or of a large class, are spread over.
 TURNS = 16
 _SIGNED = "size long, bag1 long, bag2 long, bands array<long>, sketch array<long>, s0 long, s1 long, s2 long, s3 long"
@@ -212,7 +214,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
     """``doc_id, digest, first, class_id, class_size``: ``first`` tells the one row of its class that has the least id."""
-    with arrow_rows(docs.sparkSession):
+    with arrow_rows(docs.sparkSession, BATCH):
         return _classified(docs, id_col, text_col, similar)
 
 
