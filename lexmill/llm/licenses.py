@@ -12,6 +12,10 @@ empty table gives no rows. Columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,15 +132,41 @@ def known(spark: SparkSession, texts=KNOWN) -> DataFrame:
     return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"), F.min(F.length("form")).alias("size"))
 
 
+def telling(forms: list[str]) -> list[str] | None:
+    """Few words of which every form holds one, so that a text without any of them is none of the forms; None if there are none.
+
+    Only words count that no equivalent spelling makes or changes: what normalising leaves of such a word stood in the text as it is.
+    """
+    made = [re.sub("[^a-z]", "", put) for _, put in SPELLINGS] + [re.sub("[^a-z]", "", found) for found, _ in SPELLINGS]
+    words = [{w for w in form.split() if w.isascii() and len(w) > 2 and not any(m in w or w in m for m in made)} for form in forms]
+    if not all(words):
+        return None
+    chosen, left = [], words
+    while left:
+        counts = Counter(w for some in left for w in some)
+        best = min(counts, key=lambda w: (-counts[w] * len(w), w))
+        chosen.append(best)
+        left = [some for some in left if best not in some]
+    return chosen
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts=KNOWN) -> DataFrame:
     """``doc_id, text_license, notices``: the licence that the entire text is, and those of its lines, sorted.
 
-    Every text and every line is normalised and digested, whatever ``texts`` are and however long it is.
+    Every text and every line is looked at, whatever ``texts`` are and however long it is. Those that hold none of the words
+    of which every known text has one cannot be any of them; the others are normalised and digested.
     """
-    table = F.broadcast(known(docs.sparkSession, texts).select("digest", "license"))
+    spark = docs.sparkSession
+    table = F.broadcast(known(spark, texts).select("digest", "license"))
+    # as many rows as texts given
+    forms = [r["form"] for r in spark.createDataFrame(list(texts), "license string, body string").select(canonical(F.col("body")).alias("form")).collect()]
+    words = telling(forms)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     # the whole text comes first and is told from its lines by its place
     units = base.select("doc_id", F.posexplode(F.concat(F.array("body"), F.split("body", "\n"))).alias("place", "unit"))
+    if words is not None:
+        low = F.lower("unit")
+        units = units.where(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words), F.lit(False)))
     hits = units.select("doc_id", "place", F.sha2(canonical(F.col("unit")), 256).alias("digest")).join(table, "digest")
     found = hits.groupBy("doc_id").agg(F.max(F.when(F.col("place") == 0, F.col("license"))).alias("text_license"), F.array_sort(F.collect_set("license")).alias("notices"))
     ids = base.select("doc_id").distinct()

@@ -245,6 +245,12 @@ def test_licenses_keep_lines_that_only_begin_with_copyright(spark):
     assert got == {20: "ISC", 21: "MIT", 22: "MIT", 23: "MIT", 24: None, 25: "BSD-3-Clause", 26: "BSD-2-Clause", 27: "Apache-2.0", 28: None, 29: "GPL-3.0-or-later"}
 
 
+def test_telling_words_are_in_every_text():
+    forms = ["alpha beta license", "beta gamma", "delta version"]
+    assert set(licenses.telling(forms)) <= {"beta", "alpha", "gamma", "delta"} and all(any(w in f.split() for w in licenses.telling(forms)) for f in forms)
+    assert licenses.telling(["license version", "alpha"]) is None and licenses.telling([]) == []
+
+
 def test_license_scan_equals_sql_on_licence_texts(spark):
     """Every known text as a document, wrapped, under a heading and a copyright line, against the SQL of the query."""
     rows = [(i, f"The {n} License\n(c) 2001 Me\n" + wrapped(t, 40 + i)) for i, (n, t) in enumerate(licenses.KNOWN)]
