@@ -689,6 +689,18 @@ def test_lm_learns_a_share_of_every_document():
     assert sum(got) == sum(-(-len(s) // lm.BLOCK) for s in sequences)
 
 
+def test_lm_refines_on_every_window(spark):
+    """Each id is in one window and an embedding changes only by windows that hold its id, so a window passed over leaves some as they were."""
+    lengths = [37 * lm.BLOCK, 3, lm.BLOCK + 1, 9 * lm.BLOCK]
+    ids = np.split(np.arange(sum(lengths)), np.cumsum(lengths)[:-1])
+    lay, freq = lm.layout(np.ones(sum(lengths), np.int64), np.random.default_rng(5).integers(0, 9, (sum(lengths), 2 * lm.COMPANY)), len(ids))
+    w = lm.initial(lay, freq)
+    rows = [(i, x.astype("<u2").tobytes()) for i, x in enumerate(ids)]
+    got = lm.refine(spark.createDataFrame(rows, "place long, ids binary").repartition(2), w, lay)
+    changed = (got["emb"] != w["emb"]).any(1)
+    assert changed[lay.symbol].all() and not changed[lay.end]
+
+
 def test_lm_company_is_counted_in_all_rows(spark):
     rows = [(np.array(x, "<u2").tobytes(),) for x in ([1, 2, 3, 2], [2], [], [5, 1])]
     counts, company = lm.company_of(spark.createDataFrame(rows, "ids binary").repartition(3), 40)
