@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.functions.batches import in_parts
 from lexmill.functions.stemmer import stem
 
 # The words that the stopword filter removes.
@@ -46,14 +47,18 @@ def _stem(token: str) -> str:
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _stemmed(column: pa.Array) -> pa.Array:
-    """Stems of lists of tokens: of each batch every distinct token is stemmed once, and workers remember the last ones."""
-    flat = column.flatten().dictionary_encode()
-    known = pa.array([_stem(t) for t in flat.dictionary.to_pylist()], pa.string())
-    stems = known.take(flat.indices)
-    kept = np.asarray(pc.not_equal(stems, ""), bool)
-    ends = np.concatenate([[0], np.cumsum(kept)])
-    bounds = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64))])
-    return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), stems.filter(pa.array(kept)))
+    """Stems of lists of tokens: of each part of a batch every distinct token is stemmed once, and workers remember the last ones."""
+
+    def stems_of(part: pa.Array) -> pa.Array:
+        flat = part.flatten().dictionary_encode()
+        known = pa.array([_stem(t) for t in flat.dictionary.to_pylist()], pa.string())
+        stems = known.take(flat.indices)
+        kept = np.asarray(pc.not_equal(stems, ""), bool)
+        ends = np.concatenate([[0], np.cumsum(kept)])
+        bounds = np.concatenate([[0], np.cumsum(np.asarray(part.value_lengths().fill_null(0), np.int64))])
+        return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), stems.filter(pa.array(kept)))
+
+    return in_parts(column, column.value_lengths(), stems_of)
 
 
 def tokens(text: Column, options: TextOptions = TextOptions()) -> Column:

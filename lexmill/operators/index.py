@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.batches import give_back, text_parts
 from lexmill.functions.text import TOKEN, TextOptions, split, tokens
 from lexmill.sources.scratch import written
 
@@ -52,24 +53,27 @@ class SearchIndex:
 def postings_of(docs: DataFrame, options: TextOptions = TextOptions()) -> DataFrame:
     """``term, doc_id, tf, positions`` from ``doc_id, text``.
 
-    A document's postings are made where its row is: Arrow splits a batch of texts and numbers their words, and one sort
-    by document, word and place brings the positions of each posting together. Nothing is shuffled.
+    A document's postings are made where its row is: Arrow splits the texts of a part of a batch and numbers their words, and one
+    sort by document, word and place brings the positions of each posting together. Nothing is shuffled, and a worker's
+    memory follows the bytes of a part, whatever the rows of a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, offsets, names = split(batch.column(1), options)
-            sizes = np.diff(offsets)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(words)) - np.repeat(offsets[:-1], sizes)
-            pair = owner * max(len(names), 1) + words
-            order = np.argsort(pair, kind="stable")
-            pair, place = pair[order], place[order]
-            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-            ends = np.concatenate([first, [len(pair)]]).astype(np.int32)
-            positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))
-            terms, rows = names.take(pa.array(pair[first] % max(len(names), 1))), pa.array(pair[first] // max(len(names), 1))
-            yield pa.RecordBatch.from_arrays([terms, batch.column(0).take(rows), pa.array(np.diff(ends)), positions], ["term", "doc_id", "tf", "positions"])
+            for part in text_parts(batch, 1):
+                words, offsets, names = split(part.column(1), options)
+                sizes = np.diff(offsets)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(words)) - np.repeat(offsets[:-1], sizes)
+                pair = owner * max(len(names), 1) + words
+                order = np.argsort(pair, kind="stable")
+                pair, place = pair[order], place[order]
+                first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+                ends = np.concatenate([first, [len(pair)]]).astype(np.int32)
+                positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))
+                terms, rows = names.take(pa.array(pair[first] % max(len(names), 1))), pa.array(pair[first] // max(len(names), 1))
+                yield pa.RecordBatch.from_arrays([terms, part.column(0).take(rows), pa.array(np.diff(ends)), positions], ["term", "doc_id", "tf", "positions"])
+        give_back()
 
     return docs.mapInArrow(run, "term string, doc_id long, tf int, positions array<int>")
 
@@ -78,8 +82,19 @@ def lengths_of(docs: DataFrame, options: TextOptions = TextOptions()) -> DataFra
     """``doc_id, path, length`` from ``doc_id, path, text``."""
     if options == TextOptions():
         length = F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0))
-    else:
+    elif not options.stem:
         length = F.size(tokens(F.col("text"), options))
+    else:
+        # words are stemmed once a part, and none of them leave the worker
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in text_parts(batch, 2):
+                    length = np.diff(split(part.column(2), options)[1])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(length.astype(np.int32))], ["doc_id", "path", "length"])
+            give_back()
+
+        return docs.select("doc_id", "path", "text").mapInArrow(run, "doc_id long, path string, length int")
     return docs.select("doc_id", "path", length.alias("length"))
 
 
