@@ -1,8 +1,9 @@
 """Steps whose memory and time have to follow the input: they work on parts of a batch, and keep their results."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from lexmill.functions import batches
+from lexmill.functions import batches, codecs
 from lexmill.functions.text import TextOptions, tokenize
 from lexmill.operators.index import build_index, postings_of
 
@@ -33,3 +34,19 @@ def test_stemmed_lengths(spark):
     made = build_index(rows, TextOptions(stem=True)).docs
     assert "regexp" not in made._jdf.queryExecution().toString()  # words are split and stemmed in one step
     assert {r["doc_id"]: r["length"] for r in made.collect()} == {i: len(tokenize(t, TextOptions(stem=True))) for i, t in enumerate(texts)}
+
+
+def test_codes_of_long_lists_and_nulls(spark):
+    lists = [list(range(i, 100_000 * (i + 1), i + 1)) for i in range(5)] + [[], [2**32 - 1, 5, 5], [300, 1]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, v array<long>").coalesce(1)
+    assert sum(map(len, lists)) > batches.VALUES
+    data = codecs.compress(F.col("v"))
+    got = rows.select("i", data.alias("c"), codecs.decompress(data).alias("back"))
+    assert "unhex" not in got._jdf.queryExecution().toString()
+    for r in got.collect():
+        assert bytes(r["c"]) == codecs.pack_numbers(lists[r["i"]]) and r["back"] == [x % 2**32 for x in lists[r["i"]]]
+    odd = [None, [None], [3, None, 9, 10], [-1, 3], [1 << 36, (1 << 40) + 3]]
+    rows = spark.createDataFrame([(x,) for x in odd], "v array<long>").coalesce(1)
+    got = rows.select(codecs.varbyte_encode(F.col("v")).alias("e"), codecs.compress(F.col("v")).alias("c")).collect()
+    assert [bytes(r["e"]).hex() for r in got] == ["", "", "03090a", "7f03", "80808080808380808080"]
+    assert [bytes(r["c"]).hex() for r in got][:4] == ["", "", "0301", "ffffffff0f04"]
