@@ -258,8 +258,9 @@ def small_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compressed_index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of document ids and of positions over all terms of the compressed format."""
-    rows = rank_positions(index_of(spark, sf_dir).postings)
-    return rows.agg(F.sum(codecs.varbyte_size(F.col("gap"))).alias("id_bytes"), F.sum(codecs.compressed_size(F.col("positions"))).alias("position_bytes"))
+    sized = index_of(spark, sf_dir).postings.select("term", "doc_id", codecs.compressed_size(F.col("positions")).alias("size"))
+    rows = rank_positions(sized)
+    return rows.agg(F.sum(codecs.varbyte_size(F.col("gap"))).alias("id_bytes"), F.sum("size").alias("position_bytes"))
 
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

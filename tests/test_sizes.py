@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import batches, codecs
 from lexmill.functions.text import TextOptions, tokenize
 from lexmill.operators.index import build_index, postings_of
+from lexmill.plans import queries
 
 
 def test_postings_are_made_of_parts_of_a_batch():
@@ -50,3 +51,9 @@ def test_codes_of_long_lists_and_nulls(spark):
     got = rows.select(codecs.varbyte_encode(F.col("v")).alias("e"), codecs.compress(F.col("v")).alias("c")).collect()
     assert [bytes(r["e"]).hex() for r in got] == ["", "", "03090a", "7f03", "80808080808380808080"]
     assert [bytes(r["c"]).hex() for r in got][:4] == ["", "", "0301", "ffffffff0f04"]
+
+
+def test_positions_are_sized_before_terms_meet(spark, sf_dir):
+    plan = queries.compressed_index_size(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Window [" in line)
+    assert " AS size" in plan[at + 1], plan
